@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellprobe.llm.bpe import bpe_digest
 from cellprobe.llm.io import table
+from cellprobe.llm.langid import predict, train
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -17,7 +18,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op10_bpe": op10_bpe,
 }
 
