@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellprobe.llm.bpe import bpe_digest
 from cellprobe.llm.io import table
+from cellprobe.llm.packing import pack
 from cellprobe.llm.langid import predict, train
 
 WORD_BPE = "word_bpe_49k.json"
@@ -23,8 +24,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op6_packing": op6_packing,
     "op10_bpe": op10_bpe,
 }
 
