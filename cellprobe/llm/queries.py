@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellprobe.llm.bpe import bpe_digest
 from cellprobe.llm.io import table
+from cellprobe.llm.simhash import simhash_groups
 from cellprobe.llm.secrets import scan
 from cellprobe.llm.packing import pack
 from cellprobe.llm.langid import predict, train
@@ -33,10 +34,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
+    "op8_simhash": op8_simhash,
     "op10_bpe": op10_bpe,
 }
 
