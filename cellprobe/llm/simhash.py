@@ -159,6 +159,24 @@ def _masks(half: int, bit: int) -> list[int]:
     return [own | o for o in other] + [other[i] | other[j] for i in range(32) for j in range(i)]
 
 
+def _all_variants(distance: int):
+    """(f, m, v) for the members of long runs: each mask m of what may differ, and the fingerprint without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [np.array([m for m in _masks(k // 32, k % 32)] if distance == 2 else [1 << b for b in range(64)], np.uint64) for k in range(64)]
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False) >> 31
+            f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for number in np.unique(key):
+                own = f[key == number]
+                for at in range(0, len(own), 500):
+                    m, x = masks[number], own[at : at + 500]
+                    v = (x[:, None] & ~m[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, len(m)).view(np.int64)), pa.array(np.tile(m, len(x)).view(np.int64)), pa.array(v.view(np.int64))], names=["f", "m", "v"])
+
+    return run
+
+
 def near_links(distinct: DataFrame, distance: int = 2, long_run: int = 1024) -> DataFrame:
     """Links (a, b) among distinct fingerprints f (bigint), enough to join all that are linked at ``distance`` or less.
 
@@ -168,14 +186,10 @@ def near_links(distinct: DataFrame, distance: int = 2, long_run: int = 1024) ->
         raise ValueError("two halves with one free bit cover distances 1 and 2")
     keys = distinct.select("f").mapInArrow(_index, "key bigint, f bigint")
     found = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(distance, long_run), "kind int, a bigint, b bigint"))
-    signed = [[m - (1 << 64) if m >= 1 << 63 else m for m in _masks(k // 32, k % 32) if distance == 2 or m.bit_count() == 1] for k in range(64)]
-    if distance == 1:
-        signed = [[(1 << b) - ((1 << 64) if b == 63 else 0) for b in range(64)]] * 64
     long = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("f"))
-    masks = F.element_at(F.array(*[F.array(*[F.lit(m).cast("bigint") for m in ms]) for ms in signed]), (F.shiftrightunsigned("key", 31) + 1).cast("int"))
     if long.isEmpty():
         return found.select("a", "b")
-    variants = long.select("f", F.explode(masks).alias("m")).select("f", "m", F.col("f").bitwiseAND(F.bitwise_not("m")).alias("v"))
+    variants = long.mapInArrow(_all_variants(distance), "f bigint, m bigint, v bigint")
     least = variants.groupBy("m", "v").agg(F.min("f").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = variants.join(least, ["m", "v"]).where("f <> a").select("a", F.col("f").alias("b"))
     return found.where("kind = 0").select("a", "b").union(stars.distinct())
