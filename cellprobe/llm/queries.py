@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellprobe.llm.bpe import bpe_digest
 from cellprobe.llm.io import table
-from cellprobe.llm import urls
+from cellprobe.llm import topk, urls
 from cellprobe.llm.simhash import simhash_groups
 from cellprobe.llm.secrets import scan
 from cellprobe.llm.packing import pack
@@ -43,15 +43,21 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
     "op3_urls": op3_urls,
+    "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_urls": urls.ORACLE,
+    "op9_topk": topk.ORACLE,
 }
