@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellprobe.llm.bpe import bpe_digest
 from cellprobe.llm.io import table
+from cellprobe.llm.lines import line_digest
 from cellprobe.llm import topk, urls
 from cellprobe.llm.simhash import simhash_groups
 from cellprobe.llm.secrets import scan
@@ -47,6 +48,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op6_packing": op6_packing,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op3_urls": op3_urls,
     "op9_topk": op9_topk,
+    "op4_lines": op4_lines,
     "op10_bpe": op10_bpe,
 }
 
