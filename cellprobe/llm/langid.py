@@ -178,3 +178,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, bits_per_byte double")
+
+
+def predictor(model: Model):
+    """A function from a text column to struct (lang_pred, score, bits_per_byte), as ``predict`` finds them."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("lang_pred string, score double, bits_per_byte double")
+    def found(texts: pa.Array) -> pa.Array:
+        rows = [model.predict(t.as_py()) for t in texts]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+        return pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "bits_per_byte"])
+
+    return found
