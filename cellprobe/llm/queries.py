@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellprobe.llm.bpe import bpe_digest
 from cellprobe.llm.io import table
+from cellprobe.llm.substrings import remove_repeats
 from cellprobe.llm.lines import line_digest
 from cellprobe.llm import topk, urls
 from cellprobe.llm.simhash import simhash_groups
@@ -52,6 +53,10 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op6_packing": op6_packing,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_urls": op3_urls,
     "op9_topk": op9_topk,
     "op4_lines": op4_lines,
+    "op5_substrings": op5_substrings,
     "op10_bpe": op10_bpe,
 }
 
