@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellprobe.llm.bpe import bpe_digest
 from cellprobe.llm.io import table
+from cellprobe.llm.media import copy_classes, page_images
 from cellprobe.llm.substrings import remove_repeats
 from cellprobe.llm.lines import line_digest
 from cellprobe.llm import topk, urls
@@ -57,6 +58,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_classes(page_images(table(spark, sf_dir, "pages")), id_col="page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op6_packing": op6_packing,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op4_lines": op4_lines,
     "op5_substrings": op5_substrings,
+    "op2_media": op2_media,
     "op10_bpe": op10_bpe,
 }
 
