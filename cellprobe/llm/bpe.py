@@ -50,8 +50,8 @@ class _Memo(dict):
 class Encoder:
     """Encodes and decodes as a ``tokenizers`` BPE file with word-end suffix and byte-level symbols prescribes."""
 
-    REMEMBERED = 200_000
-    PREFIXES = 250_000
+    REMEMBERED = 500_000
+    PREFIXES = 500_000
     PAIRS = 400_000
     #: Ranges in which all Unicode versions of the last years agree on letters, digits and case; texts beyond go through the library's own splitter.
     AGREED = r"[\x00-\u052F\u1E00-\u1FFF\u2010-\u205F\u20A0-\u20BF\u2100-\u214F\u2190-\u23FF\u2500-\u27BF\u3000-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FEF\uAC00-\uD7A3\uFF00-\uFFEF\U0001F300-\U0001F64F]*+"
@@ -86,7 +86,8 @@ class Encoder:
         self.state = _Memo(self._state, 2 * len(self.starts))
         #: By prefix: its automaton state, its last token, and the entry of the prefix before that token.
         self.prefixes: dict[str, tuple] = {}
-        self.ids = _Memo(lambda w: b"".join(i.to_bytes(4, "little") for i in self.word_ids(w)), self.REMEMBERED)
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
+        self.ids = _Memo(self._word_bytes, self.REMEMBERED)
         self.shown = _Memo(lambda w: self.decode_bytes(self.ids[w]), self.REMEMBERED)
 
     def _key(self, token: str) -> str:
@@ -120,37 +121,39 @@ class Encoder:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer."""
-        symbols = self.symbols
-        s = "".join([symbols[b] for b in word.encode()])
+        s = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
         n, known, fits, state = len(s), self.prefixes, self.fits, self.state
         if len(known) + n > self.PREFIXES:
             known.clear()
             if n > self.PREFIXES:  # one word alone exceeds the table: its entries go with it
                 known = {}
+        # The longest prefix that is known, with entries for all shorter ones.
         have = n - 1
-        while have and s[:have] not in known:
+        entry = known.get(s[:have])
+        while have and entry is None:
             have -= 1
-        entry = known[s[:have]] if have else ("", -1, None)
+            entry = known.get(s[:have])
+        now = entry[0] if have else ""
         for i in range(have, n):
-            now, ends = state[entry[0] + (s[i] if i < n - 1 else chr(ord(s[i]) + _FINAL))]
+            now, ends = state[now + (s[i] if i < n - 1 else chr(ord(s[i]) + _FINAL))]
             for length, token in ends:
-                start = i + 1 - length
-                if not start:
-                    entry = (now, token, None)
-                    break
-                before = known[s[:start]]
-                if fits[before[1] << 20 | token]:
-                    entry = (now, token, before)
+                before = known[s[: i + 1 - length]] if length <= i else None
+                if before is None or fits[before[1] << 20 | token]:
                     break
             else:
                 raise ValueError(f"no token ends at {i} of {word!r}")
+            entry = (now, token, before)
             if i < n - 1:
                 known[s[: i + 1]] = entry
         out = []
         while entry:
             out.append(entry[1])
             entry = entry[2]
-        return out[::-1]
+        out.reverse()
+        return out
+
+    def _word_bytes(self, word: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.word_ids(word)))
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens: NFC, lower case, then the file's own pattern."""
