@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellprobe.llm.io import release, shared_dir, written
+from cellprobe.llm.io import shared_dir, written
 
 LENGTH = 50
 K_BYTES = 20
@@ -390,11 +390,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = dealt.groupBy("key").applyInArrow(entries, "key int, batch int, blob binary")
     settled, _ = written(named.groupBy("key").applyInArrow(settle, "kind int, key int, blob binary"))
-    release(spark)
     asked = settled.where("kind = 1").groupBy("key")
     sent = dealt.groupBy("key").cogroup(asked).applyInArrow(contexts, "key int, blob binary")
     resolved, _ = written(sent.groupBy("key").cogroup(settled.where("kind = 2").groupBy("key")).applyInArrow(fine, "key int, blob binary"))
-    release(spark)
     answers = settled.where("kind = 0").select("kind", "key", "blob").union(resolved.select(F.lit(1).alias("kind"), "key", "blob"))
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     out = dealt.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(marked, schema)
