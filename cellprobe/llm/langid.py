@@ -78,6 +78,8 @@ def _symbols(texts: list[bytes]) -> tuple[np.ndarray, int, int]:
 def fit(texts: dict[str, list[str]], max_contexts: int = 16_384) -> Model:
     """A model of texts by language; languages in alphabetical order, which also breaks ties."""
     languages = sorted(texts)
+    if not languages:
+        return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32), 1)
     raw = {lang: [t.encode("utf-8", "surrogatepass") for t in texts[lang]] for lang in languages}
     symbol, a, others = _symbols([t for ts in raw.values() for t in ts])
     codes = []
