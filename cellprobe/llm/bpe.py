@@ -7,7 +7,7 @@ back-pointers from the end of the word yields the ids. Two tokens are compatible
 falling rank meets no merge across their border that BPE would have made earlier.
 
 Entries of prefixes, which many words share, and encodings of whole words are remembered per Python worker
-in tables of bounded size (``Encoder.PREFIXES``, ``Encoder.REMEMBERED``); a full table is emptied.
+in tables of bounded size (``Encoder.PREFIXES``, ``Encoder.REMEMBERED``).
 """
 
 from __future__ import annotations
@@ -34,23 +34,28 @@ def _byte_symbols() -> list[str]:
 
 
 class _Memo(dict):
-    """A word's value, computed on first use; emptied when it holds ``most`` entries, which bounds memory."""
+    """A word's value, computed on first use. Holds ``most`` entries at most: of two generations, the older one
+    goes when the younger one is full, and what is asked for again moves to the younger."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.older = self.copy()
             self.clear()
-        out = self[key] = self.make(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
 
 class Encoder:
     """Encodes and decodes as a ``tokenizers`` BPE file with word-end suffix and byte-level symbols prescribes."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 600_000
     PREFIXES = 500_000
     PAIRS = 400_000
     #: Ranges in which all Unicode versions of the last years agree on letters, digits and case; texts beyond go through the library's own splitter.

@@ -82,8 +82,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, id_col: str =
         step = 4 * capacity
         for batch in batches:
             rows, ids_out = [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = enc.encode_bytes(text.as_py()) + end
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                ids = enc.encode_bytes(text) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
