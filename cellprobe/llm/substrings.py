@@ -34,7 +34,7 @@ from cellprobe.llm.io import shared_dir, written
 LENGTH = 50
 K_BYTES = 20
 #: Text bytes of a batch, and entries of a bucket, aimed at.
-BATCH_BYTES, BUCKET_ENTRIES = 24 << 20, 1_000_000
+BATCH_BYTES, BUCKET_ENTRIES = 12 << 20, 500_000
 _BLOCK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         earlier = runs["doc"][take] < own[which]
         which, take = which[earlier], take[earlier]
         cover(which, at[which] - runs["to"][take], at[which] - runs["from"][take])
-        gone = np.cumsum(delta[:-1]) > 0
+        gone = np.cumsum(delta, out=delta)[:-1] > 0
         out = {"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
         for i in range(len(ids)):
             a, b = offsets[i], offsets[i + 1]

@@ -170,7 +170,7 @@ def plain_removal(rows, length=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("sizes", [(24 << 20, 1_000_000), (1500, 40)])
+@pytest.mark.parametrize("sizes", [(12 << 20, 500_000), (1500, 40)])
 def test_substrings(spark, monkeypatch, sizes):
     monkeypatch.setattr(substrings, "BATCH_BYTES", sizes[0])
     monkeypatch.setattr(substrings, "BUCKET_ENTRIES", sizes[1])
