@@ -26,23 +26,29 @@ SEED = 42
 _ONE_SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the shingles of ``words`` words, repeats included; 0 if there is no word."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """64-bit hashes of the shingles of ``words`` words in their order, repeats included; none if there is no word."""
     import xxhash
 
     data = (text or "").encode("utf-8", "surrogatepass").lower().translate(_ONE_SPACE)
     parts = [w for w in data.split(b" ") if w]
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = np.concatenate([[0], gaps + 1])[: len(parts) - words + 1].tolist()
-        ends = np.concatenate([gaps, [len(joined)]])[words - 1 :].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = np.concatenate([[0], gaps + 1])[: len(parts) - words + 1].tolist()
+    ends = np.concatenate([gaps, [len(joined)]])[words - 1 :].tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash of the shingles of ``words`` words, repeats included; 0 if there is no word."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         block = hashes[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)

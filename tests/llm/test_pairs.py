@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from odd_rows import ODD
 
-from cellprobe.llm import lines, media, simhash, substrings, topk, urls
+from cellprobe.llm import lines, media, shingles, simhash, substrings, topk, urls
 from cellprobe.llm.components import components
 
 
@@ -88,6 +88,58 @@ def test_near_dedup_keeps_columns(odd):
     assert kept == [0, 1, 1, 2, 4, 5, 7]  # 3 and 6 have no word, as 2; the null id stays
 
 
+# --- shingles -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("long_run", [256, 5])
+def test_jaccard_dedup_against_brute_force(spark, empty, long_run):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    notice = [word() for _ in range(40)]  # in many texts that are otherwise different
+    texts = [None, "", " \t", "one two", "One  two", "one two three"]
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(30, 300))] + (notice if rng.random() < 0.5 else [])
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 3)):
+            copy = list(base)
+            for _ in range(max(1, int(len(base) * rng.uniform(0.002, 0.03)))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    centre = [word() for _ in range(150)]
+    for _ in range(60):  # a group of which most are only similar to some others
+        copy = list(centre)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(150)] = word()
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3])]
+
+    def members(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [members(t) for t in texts]
+    alike = lambda a, b: 1.0 if a == b else len(a & b) / len(a | b)
+    scored = [(i, j, alike(sets[i], sets[j])) for i, j in itertools.combinations(range(len(sets)), 2)]
+    assert sum(0.8 <= s < 0.95 for *_, s in scored) > 100 and sum(0.7 < s < 0.8 for *_, s in scored) > 100
+    groups = grouped(len(sets), [(i, j) for i, j, s in scored if s >= 0.8])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in shingles.jaccard_dedup(df, long_run=long_run).collect()]
+    want = sorted(set(groups)) + [3] * (groups[3] == 3)
+    assert kept.count(None) == 1 and sorted(x for x in kept if x is not None) == sorted(want)
+    assert shingles.jaccard_dedup(empty).count() == 0
+
+
+def test_near_dedup_stage_takes_near_copies(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    copy = [*base[:60], "other", *base[61:130], "words", *base[131:]]
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(reversed(base)))]
+    out = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 # --- lines --------------------------------------------------------------------------------------------
 
 
