@@ -123,6 +123,8 @@ _FOLDED = re.ASCII | re.IGNORECASE
 _ASSIGN, _CONTEXT = re.compile(ASSIGN, _FOLDED), re.compile(rf"(?<![A-Za-z0-9]){CONTEXT}", _FOLDED)
 # Greedy runs: one under the least length fails from each of its starts, so the length can stand in the pattern.
 _ACCESS, _HEX = re.compile(ACCESS), re.compile(f"[0-9a-f]{{{MIN_HEX},}}")
+_JOINED, _JOINT = re.compile(r"[A-Za-z]+(?:[-'/][A-Za-z]+)*"), re.compile("[-'/]")
+_SET = re.compile("[:=]")
 _LETTERS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -148,10 +150,11 @@ def spans(text: str | None, cost: GuessCost, min_bits: float) -> list[tuple[int,
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}\"'")
             start, end = m.start(1), m.start(1) + len(value)
-            # A lone word, or words joined by hyphens, is prose after a credential's name, not a value.
-            if len(value) < 8 or re.fullmatch(r"[A-Za-z]+(?:[-'/][A-Za-z]+)*", value) or any(a < end and start < b for a, _, b in out):
+            if len(value) < 8 or any(a < end and start < b for a, _, b in out):
                 continue
-            if cost.bits(value) >= min_bits:
+            # Where only blanks or "is" come before, joined words can be prose: they cost what the costliest of them does.
+            prose = _JOINED.fullmatch(value) and not _SET.search(text, m.start(), start)
+            if max(map(cost.bits, _JOINT.split(value) if prose else [value])) >= min_bits:
                 out.append((start, 3, end))
     return sorted(out)
 

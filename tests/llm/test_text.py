@@ -226,6 +226,14 @@ def test_guess_costs(vocabulary):
     assert [(k, a) for a, k, _ in found] == [(3, 16)]
 
 
+def test_letters_are_costed(vocabulary):
+    cost = secrets.guess_cost(vocabulary)
+    for text, start in (("pwd=xkqzvjwpmhgtrbnd", 4), ("passphrase: QhWdkLpoZmvbnTyR", 12), ("private_key = KJhgfdSaPoIuYtReWqZx", 14), ("passphrase=correct-horse-battery-staple", 11), ("the pwd is xkqzvjwpmhgtrbnd", 11)):
+        assert secrets.spans(text, cost, 40.0) == [(start, 3, len(text))], text
+    for text in ("a pass through-out the state", "the pwd is state-of-the-art, or so", "authorization requirements", "pwd: something"):
+        assert secrets.spans(text, cost, 40.0) == [], text
+
+
 @settings(max_examples=60)
 @given(st.text(st.sampled_from("ab12qwert!"), min_size=1, max_size=9))
 def test_least_cost_is_least(text):
