@@ -19,6 +19,8 @@ from cellprobe.llm.packing import pack
 from cellprobe.llm.langid import predict, train
 
 WORD_BPE = "word_bpe_49k.json"
+#: Minima of word pairs by which lines meet, besides near SimHashes.
+SKETCHES = 16
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_digest(table(spark, sf_dir, "documents"))
+    return line_digest(table(spark, sf_dir, "documents"), sketches=SKETCHES)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

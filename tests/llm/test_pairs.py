@@ -192,6 +192,29 @@ def test_lines_against_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("long_run", [64, 3])
+def test_sketches_find_changed_words(spark, monkeypatch, long_run):
+    monkeypatch.setattr(lines, "LONG_RUN", long_run)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["an", "the", "or", "is", "ti", "re", "wha", "en"]) for _ in range(rng.randint(1, 4)))
+    docs, at = [], 0
+    for n in (8, 10, 12, 15, 20, 30):
+        for _ in range(25):
+            base = [word() for _ in range(n)]
+            changed = list(base)
+            changed[rng.randrange(n)] += "x"
+            docs += [(at, " ".join(base)), (at + 1, " ".join(changed))]
+            at += 2
+    centre = [word() for _ in range(40)]
+    group = [(1000 + i, " ".join([*centre[:i], "other", *centre[i + 1 :]])) for i in range(40)]
+    df = spark.createDataFrame(docs + group, "doc_id long, text string")
+    before = {r.id for r in lines.removed_lines(df).collect()}
+    found = {r.id for r in lines.removed_lines(df, sketches=16).collect()}
+    assert before <= found and not {i for i in found if i < 1000 and i % 2 == 0}
+    assert len([i for i in found if i < 1000]) >= 0.97 * len(docs) / 2 > len([i for i in before if i < 1000])
+    assert {i for i in found if i >= 1000} == set(range(1001, 1040))
+
+
 def test_lines_odd_rows(odd, empty):
     out = lines.line_dedup(odd)
     assert out.columns == [*odd.columns, "n_lines_removed"] and out.count() == len(ODD)
