@@ -44,8 +44,7 @@ class GuessCost:
 
     SEGMENT_BITS = 2.0  # which kind of segment comes next
     LONGEST_WORD = 24
-    #: Values longer than this are costed in windows of this length, whose sums are added: the cost of time stays linear.
-    WINDOW = 256
+    LONGEST_UNIT = 8  # of a repeat
 
     def __init__(self, ranks: dict[str, int]):
         self.ranks = ranks
@@ -79,10 +78,17 @@ class GuessCost:
         for date in DATES:
             for m in re.finditer(date, s):
                 yield m.start(), m.end(1), math.log2(366 * 120), "date"
-        for m in re.finditer(r"(?=((.{1,8}?)\2+))", s):
-            unit, whole = m[2], m[1]
-            if len(whole) >= 3:
-                yield m.start(), m.start() + len(whole), len(unit) * self.brute(unit) + math.log2(len(whole)), "repeat"
+        # The shortest unit that is repeated at i, as often as it goes; same[u] counts the characters from i on that
+        # equal those u later, so that long repeats take no longer.
+        same = [0] * (self.LONGEST_UNIT + 1)
+        for i in range(n - 1, -1, -1):
+            unit = 0
+            for u in range(self.LONGEST_UNIT, 0, -1):
+                same[u] = same[u] + 1 if i + u < n and s[i] == s[i + u] else 0
+                if same[u] >= u:
+                    unit = u
+            if unit and (whole := unit * (same[unit] // unit + 1)) >= 3:
+                yield i, i + whole, unit * self.brute(s[i : i + unit]) + math.log2(whole), "repeat"
         i = 0
         while i < n:
             j = i + 1
@@ -92,7 +98,7 @@ class GuessCost:
                 yield i, j, math.log2(len(self.next_to)) + math.log2(4) * (j - i - 1) / 2, "walk"
             i = max(j - 1, i + 1)
 
-    def _window(self, s: str) -> float:
+    def bits(self, s: str) -> float:
         n, each = len(s), self.brute(s)
         ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for i, j, bits, _ in self.segments(s):
@@ -104,9 +110,6 @@ class GuessCost:
             best[j] = min([span[j], *(best[i] + self.SEGMENT_BITS + bits for i, bits in ending[j])])
         return best[n]
 
-    def bits(self, value: str) -> float:
-        return sum(self._window(value[i : i + self.WINDOW]) for i in range(0, len(value), self.WINDOW))
-
 
 def guess_cost(vocabulary: str) -> GuessCost:
     """The worker's costs with words and ranks of a BPE vocabulary file: a token's id follows its frequency rank."""

@@ -234,6 +234,16 @@ def test_letters_are_costed(vocabulary):
         assert secrets.spans(text, cost, 40.0) == [], text
 
 
+def test_long_values_are_one_value(vocabulary):
+    cost = secrets.guess_cost(vocabulary)
+    for n in (100, 300, 520, 20_000):
+        assert cost.bits("=" * n) < 25 and secrets.spans("bearer " + "-" * n, cost, 40.0) == []
+    assert secrets.spans("bearer " + "-" * 300 + "xK9#mQ2$vL8w", cost, 40.0) == [(7, 3, 319)]
+    for text in ("aaaa", "abababa", "xabcabcabcy", "aab", "abcdefghabcdefgh", "abcdefghiabcdefghi"):
+        want = {(m.start(), m.start() + len(m[1])) for m in re.finditer(r"(?=((.{1,8}?)\2+))", text) if len(m[1]) >= 3}
+        assert {(a, b) for a, b, _, kind in cost.segments(text) if kind == "repeat"} == want
+
+
 @settings(max_examples=60)
 @given(st.text(st.sampled_from("ab12qwert!"), min_size=1, max_size=9))
 def test_least_cost_is_least(text):
