@@ -192,6 +192,13 @@ def test_lines_against_brute_force(spark):
     assert got == want
 
 
+def test_edit_similarity_at_its_bound(spark):
+    rows = [(n + d, "a" * (n - n // 5 - d) + "b" * (n // 5 + d), "a" * n) for n in (50, 100, 200, 1000) for d in (0, 1)]
+    texts = spark.createDataFrame([(k * 2 + i, r[1 + i]) for k, r in enumerate(rows) for i in (0, 1)], "k1 long, norm string")
+    pairs = spark.createDataFrame([(k * 2, k * 2 + 1) for k in range(len(rows))], "a long, b long")
+    assert sorted(r.a for r in lines._verified(pairs, texts, 0.8).collect()) == [0, 4, 8, 12]
+
+
 @pytest.mark.parametrize("long_run", [64, 3])
 def test_sketches_find_changed_words(spark, monkeypatch, long_run):
     monkeypatch.setattr(lines, "LONG_RUN", long_run)
