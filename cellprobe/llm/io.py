@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -26,36 +34,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step runs: what its shuffles wrote goes when its result is in the shared folder.
+_MEANWHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: For a step with a very long expression: the JVM's compiler leaves generated methods of over 8000 bytecodes interpreted,
+#: so the expression is to be split into methods of its own.
+SPLIT_METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
 @contextlib.contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What runs inside drops its shuffle files when it is done: its result is in the shared folder by then."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _step(spark: SparkSession, conf: dict[str, str] | None = None) -> Iterator[None]:
+    wanted = _MEANWHILE | (conf or {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute now and cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    with _shuffles_dropped(df.sparkSession):
-        return df.checkpoint(eager=True)
+    """Compute now and cut the lineage with a reliable checkpoint in the shared folder.
+
+    A checkpoint remembers the estimated size and the constraints of the plan that made it. Over the rounds of a loop
+    estimates of joins multiply to numbers of millions of digits, so the result is made a plan without any.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    with _step(spark):
+        kept = df.checkpoint(eager=True)
+    jvm = spark._jsparkSession
+    return DataFrame(jvm.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+def written(df: DataFrame, partition_by: list[str] | None = None, conf: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     """Compute now into a Parquet table in the shared folder; returns the reread table and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cellprobe-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
-    with _shuffles_dropped(spark):
+    with _step(spark, conf):
         (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
