@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+def integral(df: DataFrame, id_col: str) -> None:
+    """Ids are compared as integers: texts would become null without a word."""
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is {df.schema[id_col].dataType.simpleString()}; ids must be integers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +32,11 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         found = tempfile.mkdtemp(prefix="cellprobe-ckpt-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
