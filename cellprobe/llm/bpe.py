@@ -6,8 +6,8 @@ one that is compatible with the last token of the prefix before it is stored, an
 back-pointers from the end of the word yields the ids. Two tokens are compatible if undoing their merges in
 falling rank meets no merge across their border that BPE would have made earlier.
 
-Entries of prefixes, which many words share, and encodings of whole words are remembered per Python worker
-in tables of bounded size (``Encoder.PREFIXES``, ``Encoder.REMEMBERED``).
+Entries of short prefixes, which many words share, and encodings of words that are not long are remembered per Python
+worker in tables of bounded size (``Encoder.PREFIXES``, ``Encoder.REMEMBERED``).
 """
 
 from __future__ import annotations
@@ -34,14 +34,17 @@ def _byte_symbols() -> list[str]:
 
 
 class _Memo(dict):
-    """A word's value, computed on first use. Holds ``most`` entries at most: of two generations, the older one
-    goes when the younger one is full, and what is asked for again moves to the younger."""
+    """A key's value, computed on first use. Holds ``most`` entries at most: of two generations, the older one goes
+    when the younger one is full, and what is asked for again moves to the younger. Strings of over ``longest``
+    characters are not kept."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, longest: int | None = None):
         super().__init__()
-        self.make, self.half, self.older = make, max(1, most // 2), {}
+        self.make, self.half, self.older, self.longest = make, max(1, most // 2), {}, longest
 
     def __missing__(self, key):
+        if self.longest and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.half:
             self.older = self.copy()
             self.clear()
@@ -58,6 +61,8 @@ class Encoder:
     REMEMBERED = 600_000
     PREFIXES = 500_000
     PAIRS = 400_000
+    #: Prefixes of up to so many symbols are shared among words, and words of up to so many characters are remembered.
+    SHARED, LONGEST = 48, 200
     #: Ranges in which all Unicode versions of the last years agree on letters, digits and case; texts beyond go through the library's own splitter.
     AGREED = r"[\x00-\u052F\u1E00-\u1FFF\u2010-\u205F\u20A0-\u20BF\u2100-\u214F\u2190-\u23FF\u2500-\u27BF\u3000-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FEF\uAC00-\uD7A3\uFF00-\uFFEF\U0001F300-\U0001F64F]*+"
 
@@ -89,11 +94,13 @@ class Encoder:
         self.token_of = {self._key(t): i for t, i in self.vocab.items() if self.rank[i] < 0 or self._compatible(self.left[i], self.right[i], self.rank[i])}
         self.starts = {key[:n] for key in self.token_of for n in range(1, len(key) + 1)}
         self.state = _Memo(self._state, 2 * len(self.starts))
-        #: By prefix: its automaton state, its last token, and the entry of the prefix before that token.
-        self.prefixes: dict[str, tuple] = {}
+        #: A tree of prefixes. An entry: the entries one symbol longer, the automaton's state, the prefix's last token, and
+        #: the entry of the prefix before that token.
+        self.root: tuple = ({}, "", -1, None)
+        self.held = 0
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
-        self.ids = _Memo(self._word_bytes, self.REMEMBERED)
-        self.shown = _Memo(lambda w: self.decode_bytes(self.ids[w]), self.REMEMBERED)
+        self.ids = _Memo(self._word_bytes, self.REMEMBERED, self.LONGEST)
+        self.shown = _Memo(lambda w: self.decode_bytes(self.ids[w]), self.REMEMBERED, self.LONGEST)
 
     def _key(self, token: str) -> str:
         if token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -125,35 +132,39 @@ class Encoder:
         return read, tuple((n, t) for n, t in found if t is not None)
 
     def word_ids(self, word: str) -> list[int]:
-        """Ids of one word of the pre-tokenizer."""
+        """Ids of one word of the pre-tokenizer. Time and memory grow with its length."""
         s = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
-        n, known, fits, state = len(s), self.prefixes, self.fits, self.state
-        if len(known) + n > self.PREFIXES:
-            known.clear()
-            if n > self.PREFIXES:  # one word alone exceeds the table: its entries go with it
-                known = {}
-        # The longest prefix that is known, with entries for all shorter ones.
-        have = n - 1
-        entry = known.get(s[:have])
-        while have and entry is None:
-            have -= 1
-            entry = known.get(s[:have])
-        now = entry[0] if have else ""
-        for i in range(have, n):
-            now, ends = state[now + (s[i] if i < n - 1 else chr(ord(s[i]) + _FINAL))]
+        last, fits, state, shared = len(s) - 1, self.fits, self.state, self.SHARED
+        if self.held > self.PREFIXES:
+            self.root, self.held = ({}, "", -1, None), 0
+        entry, path = self.root, []  # path: the entries of the prefixes, shortest first
+        for symbol in s[: min(last, shared)]:
+            found = entry[0].get(symbol)
+            if found is None:
+                break
+            entry = found
+            path.append(entry)
+        now = entry[1]
+        for i in range(len(path), last + 1):
+            now, ends = state[now + (s[i] if i < last else chr(ord(s[i]) + _FINAL))]
             for length, token in ends:
-                before = known[s[: i + 1 - length]] if length <= i else None
-                if before is None or fits[before[1] << 20 | token]:
+                before = path[i - length] if length <= i else None
+                if before is None or fits[before[2] << 20 | token]:
                     break
             else:
                 raise ValueError(f"no token ends at {i} of {word!r}")
-            entry = (now, token, before)
-            if i < n - 1:
-                known[s[: i + 1]] = entry
+            if i < shared and i < last:
+                new = ({}, now, token, before)
+                entry[0][s[i]] = new
+                self.held += 1
+            else:
+                new = (None, now, token, before)
+            entry = new
+            path.append(entry)
         out = []
         while entry:
-            out.append(entry[1])
-            entry = entry[2]
+            out.append(entry[2])
+            entry = entry[3]
         out.reverse()
         return out
 
