@@ -1,11 +1,11 @@
 """Best-fit packing planned on a histogram of lengths.
 
-Documents are tokenised once and cut into pieces of at most ``capacity`` tokens; the pieces (ids dropped
-unless asked for) go to the shared folder. The driver sees counts by length and chunk only, at most
-``capacity * CHUNKS`` numbers whatever the input. Best-fit decreasing runs over these counts: it yields
-runs of slots (length, ranks from-to, first sequence, offset). Each piece then takes the slot of its rank
-among the pieces of its length. Ranks are a chunk's base plus the rank within length and chunk, so a
-length that a third of all pieces share is numbered by many tasks.
+Documents are tokenised once and cut into pieces of at most ``capacity`` tokens; the pieces (ids dropped unless asked
+for) go to the shared folder. Full pieces are sequences by themselves. Of the others the driver sees counts by length
+only, fewer than ``capacity`` numbers whatever the input. Best-fit decreasing runs over these counts: it yields runs of
+slots (length, ranks from-to, first sequence, offset), whose number depends on the lengths that occur. Each piece then
+takes the slot of its rank among the pieces of its length. Ranks are a chunk's base plus the rank within length and
+chunk, so a length that a third of all pieces share is numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from cellprobe.llm.bpe import encoder
 from cellprobe.llm.io import cut
 
-CHUNKS = 64
+#: Chunks of a length's pieces: so many at least, and more where a chunk of all pieces would have over so many rows.
+CHUNKS, CHUNK_ROWS = 64, 20_000_000
 END_OF_DOCUMENT = 1
 
 
@@ -108,19 +109,24 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, id_col: str = "
     packed each by itself; an empty table gives no rows; other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    cells = pieces(docs, vocabulary, capacity, id_col, text_col, with_ids)
-    cells = cut(cells.withColumn("_chunk", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(CHUNKS)).cast("int")))
-    histogram = cut(cells.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n")))  # at most capacity * CHUNKS rows
-    counts: dict[int, int] = defaultdict(int)
-    for r in histogram.groupBy("length").agg(F.sum("_n").alias("n")).collect():
-        counts[r["length"]] = r["n"]
+    out = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    cells = cut(pieces(docs, vocabulary, capacity, id_col, text_col, with_ids).withColumn("_number", F.monotonically_increasing_id()))
+    full = cells.where(F.col("length") == capacity).select(*out, (-1 - F.col("_number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    open_ = cells.where(F.col("length") < capacity)
+    chunks = max(CHUNKS, -(-open_.count() // CHUNK_ROWS))
+    open_ = open_.withColumn("_chunk", F.pmod(F.xxhash64("_number"), F.lit(chunks)).cast("int"))
+    histogram = cut(open_.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n")))
+    counts = {r["length"]: r["n"] for r in histogram.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     runs = plan(counts, capacity)
-    slots = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "length bigint, _rank bigint, _number bigint, _sequence bigint, _offset bigint")
+    slots = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "length bigint, _rank bigint, _count bigint, _sequence bigint, _offset bigint")
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = histogram.select("length", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    order = Window.partitionBy("length", "_chunk").orderBy(id_col, "piece", "ids_crc32")
-    ranked = cells.withColumn("_row", F.row_number().over(order) - 1).join(F.broadcast(bases), ["length", "_chunk"]).withColumn("_at", F.col("_base") + F.col("_row"))
+    # Both small tables are bounded by the capacity: under ``capacity * CHUNKS`` rows of bases, and of slots what the plan has.
+    small = F.broadcast if chunks == CHUNKS else lambda df: df
+    order = Window.partitionBy("length", "_chunk").orderBy("_number")
+    ranked = open_.withColumn("_row", F.row_number().over(order) - 1).join(small(bases), ["length", "_chunk"]).withColumn("_at", F.col("_base") + F.col("_row"))
     c, s = ranked.alias("c"), F.broadcast(slots).alias("s")
-    fits = (F.col("c.length") == F.col("s.length")) & (F.col("_at") >= F.col("_rank")) & (F.col("_at") < F.col("_rank") + F.col("_number"))
-    out = [F.col(f"c.{x}") for x in (id_col, "piece", "start", "length", "ids_crc32")]
-    return c.join(s, fits).select(*out, (F.col("_sequence") + F.col("_at") - F.col("_rank")).alias("sequence_id"), F.col("_offset").alias("offset"), *([F.col("c.ids")] if with_ids else []))
+    fits = (F.col("c.length") == F.col("s.length")) & (F.col("_at") >= F.col("_rank")) & (F.col("_at") < F.col("_rank") + F.col("_count"))
+    placed = c.join(s, fits).select(*[F.col(f"c.{x}") for x in out], (F.col("_sequence") + F.col("_at") - F.col("_rank")).alias("sequence_id"), F.col("_offset").alias("offset"))
+    columns = [*out[:5], "sequence_id", "offset", *out[5:]]
+    return full.unionByName(placed).select(*columns)
