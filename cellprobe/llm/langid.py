@@ -6,8 +6,8 @@ shorter one. The statistics are frozen after training, so the code length of a b
 fixed number; all of them are laid out in one table, and the code length of a text in every language is a
 sum of looked-up rows. The language with the shortest code wins.
 
-Bounds of training, all parameters of ``train``: ``sample_rows`` rows a language, ``row_chars`` characters
-of each, ``max_contexts`` contexts of order 3. Prediction reads whole texts.
+Bounds of training, both parameters of ``train``: ``sample_rows`` labelled rows a language and ``max_rows`` in all, each
+with its whole text. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def _symbols(texts: list[bytes]) -> tuple[np.ndarray, int, int]:
     return symbol, len(kept) + 2, max(1, int((symbol == len(kept) + 1).sum()))
 
 
-def fit(texts: dict[str, list[str]], max_contexts: int = 16_384) -> Model:
+def fit(texts: dict[str, list[str]]) -> Model:
     """A model of texts by language; languages in alphabetical order, which also breaks ties."""
     languages = sorted(texts)
     if not languages:
@@ -107,10 +107,6 @@ def fit(texts: dict[str, list[str]], max_contexts: int = 16_384) -> Model:
     for k in range(ORDER + 1):
         per = contexts(k)
         every, back = np.unique(np.concatenate([c for c, _, _ in per]), return_inverse=True)
-        if k == ORDER:
-            # The most frequent ones only; others fall back to their suffix.
-            weight = np.bincount(back, np.concatenate([n for _, _, n in per]), len(every)) if len(every) else np.zeros(0)
-            every = np.sort(every[np.lexsort((every, -weight))[:max_contexts]])
         parent = probs[lookup[every % a ** (k - 1)]] if k > 1 else np.repeat(probs[:1], len(every), 0)
         now = parent.copy()
         for j, (c, x, n) in enumerate(per):
@@ -144,24 +140,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 400, row_chars: int = 20_000, max_contexts: int = 16_384) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 400, max_rows: int = 20_000) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
-    A row is sampled by a hash of its id, at a rate by language that makes about ``sample_rows`` rows; rows
-    with null id, text or language take no part. The driver gets at most a few hundred rows a language.
+    A row is sampled by a hash of its id, at a rate by language that makes about ``sample_rows`` rows, or an equal
+    share of ``max_rows`` where there are many languages; rows with null id, text or language take no part. The
+    driver gets whole texts, of about ``max_rows`` rows at most.
     """
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return fit({})
-    spread = 1 << 30
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(spread, spread * sample_rows // n))])
+    spread, each = 1 << 30, max(1, min(sample_rows, max_rows // len(counts)))
+    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(spread, spread * each // n))])
     chosen = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(spread)) < rate[F.col(lang_col)]
-    sample = rows.where(chosen).select(lang_col, id_col, F.substring(text_col, 1, row_chars))
+    sample = rows.where(chosen).select(lang_col, id_col, text_col)
     texts: dict[str, list[str]] = {}
     for lang, _, text in sorted(map(tuple, sample.collect())):
         texts.setdefault(lang, []).append(text)
-    return fit(texts, max_contexts)
+    return fit(texts)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Null texts, empty ones and those without a letter get ``und`` and score 0; repeated rows and null ids stay.
     Other columns of ``docs`` are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_contexts, not by the data
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the rows it was trained on, not by the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -183,7 +180,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def predictor(model: Model):
-    """A function from a text column to struct (lang_pred, score, bits_per_byte), as ``predict`` finds them."""
+    """A function from a text column to struct (lang_pred, score, bits_per_byte), as ``predict`` finds them.
+
+    Null, empty and letterless texts get ``und``, 0 and 0; every text is read whole.
+    """
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("lang_pred string, score double, bits_per_byte double")
