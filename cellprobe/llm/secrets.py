@@ -8,7 +8,9 @@ follows a credential name is a secret of kind ``guess``. Matches of the fixed pa
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import json
 import math
 import re
@@ -43,11 +45,11 @@ class GuessCost:
     """Least bits of a value under the segment kinds above."""
 
     SEGMENT_BITS = 2.0  # which kind of segment comes next
-    LONGEST_WORD = 24
     LONGEST_UNIT = 8  # of a repeat
 
     def __init__(self, ranks: dict[str, int]):
         self.ranks = ranks
+        self.longest = max(map(len, ranks), default=0)
         self.next_to = {}
         for y, row in enumerate(KEYBOARD_ROWS):
             for x, key in enumerate(row):
@@ -69,7 +71,7 @@ class GuessCost:
         low, n = s.lower(), len(s)
         plain = low.translate(_LEET)
         for i in range(n):
-            for j in range(i + 3, min(n, i + self.LONGEST_WORD) + 1):
+            for j in range(i + 3, min(n, i + self.longest) + 1):
                 for form, extra in ((low[i:j], 0.0), (plain[i:j], 2.0)):
                     rank = self.ranks.get(form)
                     if rank is not None and (not extra or form != low[i:j]):
@@ -149,17 +151,21 @@ def spans(text: str | None, cost: GuessCost, min_bits: float) -> list[tuple[int,
         return []
     out = base_spans(text)
     low = text.lower()
+    starts = [a for a, _, _ in out]
+    ends = list(itertools.accumulate((b for _, _, b in out), max))  # the furthest end of the spans so far
+    guessed = []
     if any(w in low for w in CONTEXT_HINTS):
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}\"'")
             start, end = m.start(1), m.start(1) + len(value)
-            if len(value) < 8 or any(a < end and start < b for a, _, b in out):
+            before = bisect.bisect_left(starts, end)
+            if len(value) < 8 or (before and ends[before - 1] > start):
                 continue
             # Where only blanks or "is" come before, joined words can be prose: they cost what the costliest of them does.
             prose = _JOINED.fullmatch(value) and not _SET.search(text, m.start(), start)
             if max(map(cost.bits, _JOINT.split(value) if prose else [value])) >= min_bits:
-                out.append((start, 3, end))
-    return sorted(out)
+                guessed.append((start, 3, end))
+    return sorted(out + guessed)
 
 
 def shown(found: list[tuple[int, int, int]]) -> str:
@@ -187,7 +193,11 @@ def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 def redact(docs: DataFrame, vocabulary: str, text_col: str = "text", min_bits: float = 40.0, mark: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; overlapping spans become one mark, other columns stay."""
+    """``docs`` with every span replaced by ``mark``; overlapping spans become one mark, other columns stay.
+
+    Null and empty texts stay as they are; rows are judged one by one, so repeated rows fare alike, and the work on a
+    text grows with its length. An empty table gives no rows.
+    """
     from pyspark.sql import functions as F
     from pyspark.sql.functions import arrow_udf
 
