@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellprobe.llm.components import components
-from cellprobe.llm.io import cut
+from cellprobe.llm.io import cut, fresh
 
 SEED = 42
 #: White space between words becomes a blank.
@@ -229,6 +229,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Repeated rows of the kept id stay as well: they are one document's.
     """
-    kept = groups(docs, id_col=id_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    name = fresh(docs, "_kept")
+    kept = groups(docs, id_col=id_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name), "left_semi")
     return named.unionByName(docs.where(F.col(id_col).isNull()))

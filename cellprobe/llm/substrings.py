@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellprobe.llm.io import shared_dir, written
+from cellprobe.llm.io import integral, shared_dir, written
 
 LENGTH = 50
 K_BYTES = 20
@@ -237,9 +237,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null text counts as empty, with the digest of nothing. A null id comes after all others, and rows that share
     an id, or have none, take nothing from each other. Texts under ``length`` bytes lose nothing. An empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. Ids that are not integers raise TypeError. Long texts are read whole.
     """
     spark = docs.sparkSession
+    integral(docs, id_col)
     shared_dir(spark)
     finder = {"length": length, "k_bytes": k_bytes}
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
