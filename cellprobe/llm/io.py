@@ -81,11 +81,14 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(jvm.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None, conf: dict[str, str] | None = None) -> tuple[DataFrame, str]:
-    """Compute now into a Parquet table in the shared folder; returns the reread table and its path."""
+def written(df: DataFrame, partition_by: list[str] | None = None, conf: dict[str, str] | None = None, hashes: bool = False) -> tuple[DataFrame, str]:
+    """Compute now into a Parquet table in the shared folder; returns the reread table and its path.
+
+    ``hashes`` tells that the rows are mostly hashes, on which compression and dictionaries are lost work.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cellprobe-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "lz4" if hashes else "zstd").option("parquet.enable.dictionary", str(not hashes).lower())
     with _step(spark, conf):
         (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
