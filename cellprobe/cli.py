@@ -71,7 +71,10 @@ def _profile(spark, args, out: str) -> int:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = _parser().parse_args(argv)
+    parser = _parser()
+    args = parser.parse_args(argv)
+    if getattr(args, "verify", False) and args.command != "verify" and args.noverify:
+        parser.error("--verify and --noverify exclude each other")
     if args.command == "resolve":
         config = configs.load(args.config)
         with open(args.apply, encoding="utf-8") as f:
@@ -105,7 +108,9 @@ def main(argv: list[str] | None = None) -> int:
     if not code and not args.keep_config:
         import os
 
-        os.remove(out)
+        for path in (out, f"{out}.state"):
+            if os.path.exists(path):
+                os.remove(path)
     return code
 
 

@@ -66,11 +66,14 @@ def candidates(tables: dict[str, dict]) -> list[tuple[str, str, str, str]]:
     return out
 
 
-def infer(tables: dict[str, dict], read: Callable[[str], DataFrame]) -> dict[str, list[ForeignKey]]:
-    """Suggested keys: candidates of which every value, and at least one, is in the referred table."""
+def infer(tables: dict[str, dict], read: Callable[[str, str], DataFrame]) -> dict[str, list[ForeignKey]]:
+    """Suggested keys: candidates of which every value, and at least one, is in the referred table.
+
+    ``read`` gives a column of a table.
+    """
     out: dict[str, list[ForeignKey]] = {}
     for name, column, ref, key in candidates(tables):
-        found = containment(read(name), column, read(ref), key).first()
+        found = containment(read(name, column), column, read(ref, key), key).first()
         if found["violations"] == 0 and found["non_null"]:
             out.setdefault(name, []).append(ForeignKey([column], ref, [key], rationale=f"{name}.{column} is named after {ref}, and all of its {found['non_null']} values are in {ref}.{key}"))
     return out

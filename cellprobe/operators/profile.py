@@ -13,6 +13,7 @@ from cellprobe.functions import temporal as t
 from cellprobe.operators.heuristics import COUNTERS, GEO_COUNTERS, Finding, declared_varchar, findings, varchar_finding
 from cellprobe.operators.resolver import THRESHOLD, decide
 from cellprobe.plans.config import DROP, ColumnConfig
+from cellprobe.sources.catalog import backticked
 
 SAMPLE_ROWS = 500
 VIOLATION_CONFIDENCE, PASSTHROUGH_CONFIDENCE = 0.40, 0.99
@@ -124,7 +125,7 @@ def full_table_check(df: DataFrame, checks: list[Check]) -> DataFrame:
     with the columns.
     """
     kinds = sorted({(c.transform, c.target, c.reject_null) for c in checks})
-    entries = [F.struct(F.lit(c.column).alias("column"), F.lit(kinds.index((c.transform, c.target, c.reject_null))).alias("kind"), F.col(f"`{c.column}`").alias("c")) for c in checks]
+    entries = [F.struct(F.lit(c.column).alias("column"), F.lit(kinds.index((c.transform, c.target, c.reject_null))).alias("kind"), F.col(backticked(c.column)).alias("c")) for c in checks]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     parts = [(F.col("kind") == i, violation(Check("", *kind))) for i, kind in enumerate(kinds)]
     bad = functools.reduce(lambda rest, part: F.when(part[0], part[1]).otherwise(rest), parts, F.lit(False))
@@ -150,8 +151,9 @@ def profile(df: DataFrame, metas: list[ColumnMeta], table: str = "t", threshold:
         longest = {r["column"]: r["max_len"] for r in cells.max_text_lengths(df, wanted).collect()}
     out, pending, unresolved = {}, {}, []
 
-    def unclear(m: ColumnMeta, reason: str) -> None:
-        unresolved.append({"table": table, "column": m.name, "declared_type": m.declared, "reason": reason})
+    def unclear(m: ColumnMeta, reason: str, found: list[Finding] = ()) -> None:
+        told = [{"heuristic": f.heuristic, "suggested_type": f.suggested_type, "confidence": f.confidence, "rationale": f.rationale} for f in found]
+        unresolved.append({"table": table, "column": m.name, "declared_type": m.declared, "samples": [], "reason": reason, "findings": told})
 
     for m in metas:
         c = counts[m.name]
@@ -168,7 +170,7 @@ def profile(df: DataFrame, metas: list[ColumnMeta], table: str = "t", threshold:
         best, review = decide(found, threshold)
         out[m.name] = _column(m, best, review)
         if review:
-            unclear(m, f"confidence {best.confidence:.2f} is below {threshold:.2f}, or heuristics disagree")
+            unclear(m, f"confidence {best.confidence:.2f} is below {threshold:.2f}, or heuristics disagree", found)
         elif best.suggested_type != DROP and (best.transform or not best.suggested_type.startswith(("text", "varchar"))):
             pending[m.name] = Check(m.name, best.transform, best.suggested_type, reject)
     if pending:
@@ -179,6 +181,11 @@ def profile(df: DataFrame, metas: list[ColumnMeta], table: str = "t", threshold:
                 cc.confidence, cc.needs_review = VIOLATION_CONFIDENCE, True
                 cc.rationale += f"; but {r['violations']} of all rows can't become {cc.target_type}, such as {r['bad_value']!r}"
                 unclear(by_name[r["column"]], cc.rationale)
+    if unresolved:
+        shown = list(dict.fromkeys(u["column"] for u in unresolved))
+        texts = looked.limit(SAMPLE_ROWS if sample is None else sample).select(*[cells.sql(cells.BAD_TEXT, backticked(c)).alias(f"c{i}") for i, c in enumerate(shown)]).collect()
+        for u in unresolved:
+            u["samples"] = [v for r in texts if (v := r[shown.index(u["column"])]) is not None]
     return Profile(out, unresolved)
 
 

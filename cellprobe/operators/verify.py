@@ -104,15 +104,6 @@ def examples(both: DataFrame, keys: list[str], column: str, most: int = EXAMPLES
     return [{"column": column, "key": [r[f"e_{k}"] for k in keys], "expected": str(r[f"e_{column}"]), "actual": str(r[f"a_{column}"])} for r in rows.collect()]
 
 
-def positional_mismatches(expected: DataFrame, actual: DataFrame, column: str) -> DataFrame:
-    """One row (mismatches) after sorting both sides by key and lining them up by rank within equal keys.
-
-    Ranks come from counts, not from one global sort: equal to the count of the multiset difference.
-    """
-    diff = multiset_difference(expected, actual, column)
-    return diff.agg(F.coalesce(F.sum(F.abs(F.col("expected_count") - F.col("actual_count"))), F.lit(0)).cast("bigint").alias("unmatched"))
-
-
 def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     """Row numbers from 0 in key order, for reports."""
     return df.withColumn("row_number", F.row_number().over(Window.orderBy(*keys)) - 1)

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from cellprobe.functions import cells, jsons, transforms
 from cellprobe.operators import foreign_keys, picker, resolver, verify
-from cellprobe.operators.heuristics import ESRI_TYPES, declared_varchar, varchar_finding
-from cellprobe.operators.profile import Check, as_cells, counters, full_table_check, storage_misfit
+from cellprobe.operators.heuristics import ESRI_TYPES, Finding, declared_varchar, varchar_finding
+from cellprobe.operators.profile import Check, ColumnMeta, as_cells, counters, full_table_check, profile, storage_misfit
 from cellprobe.plans import ddl
+from cellprobe.plans.config import ColumnConfig, MigrationConfig, TableConfig
+from cellprobe.plans.review import Review
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,8 +238,11 @@ _FINDINGS = (
     FROM r WHERE rk = 1""",
 )
 def decide(spark, d):
-    rows = spark.createDataFrame(list(_FINDINGS), "table string, column string, ord int, suggested_type string, transform string, confidence double")
-    return resolver.decide_frame(rows)
+    by_column: dict[tuple[str, str], list[Finding]] = {}
+    for table, column, _, target, transform, confidence in sorted(_FINDINGS, key=lambda f: f[:3]):
+        by_column.setdefault((table, column), []).append(Finding(heuristic="h", suggested_type=target, transform=transform, confidence=confidence, rationale=""))
+    rows = [(*at, best.suggested_type, best.transform, best.confidence, review) for at, found in by_column.items() for best, review in [resolver.decide(found)]]
+    return spark.createDataFrame(rows, "table string, column string, suggested_type string, transform string, confidence double, needs_review boolean")
 
 
 @query("full_table_check", "SELECT 'price' AS \"column\", count(*) FILTER (o_orderkey % 1000 = 1) AS violations, CASE WHEN count(*) FILTER (o_orderkey % 1000 = 1) > 0 THEN 'lots' END AS bad_value FROM orders UNION ALL SELECT 'day', 0, NULL")
@@ -372,33 +377,81 @@ def common_transform(spark, d):
     return out
 
 
-_LONG = [("t1", "a" * 62 + "xyz"), ("t1", "a" * 62 + "xqr"), ("t1", "b" * 70), ("t2", "a" * 62 + "xyz"), ("t2", "short")]
-
-
-@query("identifier_disambiguate", "WITH n(scope, name) AS (VALUES " + ", ".join(f"('{s}', '{n}')" for s, n in _LONG) + ") SELECT scope, name, CASE WHEN count(*) OVER (PARTITION BY scope, substr(name, 1, 63)) = 1 THEN substr(name, 1, 63) ELSE substr(name, 1, 54) || '_' || substr(sha1(name), 1, 8) END AS identifier FROM n")
+@query("identifier_disambiguate", "WITH n AS (SELECT n_regionkey AS scope, repeat('x', 50 + CAST(n_nationkey AS INTEGER) % 12) || n_name AS name FROM nation) SELECT scope, name, CASE WHEN count(*) OVER (PARTITION BY scope, substr(name, 1, 63)) = 1 THEN substr(name, 1, 63) ELSE substr(name, 1, 54) || '_' || substr(sha1(name), 1, 8) END AS identifier FROM n")
 def identifier_disambiguate(spark, d):
-    return ddl.unique_names_frame(spark.createDataFrame(_LONG, "scope string, name string"))
+    """Names of a schema are few: they are made on the driver, for each scope."""
+    rows = _table(spark, d, "nation").selectExpr("n_regionkey AS scope", "concat(repeat('x', CAST(50 + n_nationkey % 12 AS INT)), n_name) AS name")
+    by_scope: dict[int, list[str]] = {}
+    for r in rows.collect():
+        by_scope.setdefault(r.scope, []).append(r.name)
+    made = [(scope, n, i) for scope, names in by_scope.items() for n, i in zip(names, ddl.unique_names(names), strict=True)]
+    return spark.createDataFrame(made, f"scope {rows.schema['scope'].dataType.simpleString()}, name string, identifier string")
 
 
 _DECISIONS = [("t1", "a", 0, True), ("t1", "b", 1, False), ("t1", "c", 2, True), ("t1", "d", 3, True), ("t2", "a", 0, False), ("t2", "b", 1, True)]
 _DECISIONS_SQL = "WITH r(tbl, col, ordinal, needs_review) AS (VALUES " + ", ".join(f"('{t}', '{c}', {o}, {str(n).lower()})" for t, c, o, n in _DECISIONS) + ")"
 
 
-def _decisions(spark) -> DataFrame:
-    return spark.createDataFrame(_DECISIONS, "table string, column string, ordinal int, needs_review boolean")
+def _review() -> Review:
+    config = MigrationConfig("x")
+    for table, column, _, flagged in _DECISIONS:
+        t = config.tables.setdefault(table, TableConfig())
+        t.columns[column] = ColumnConfig("TEXT", "text", needs_review=flagged)
+        t.column_order.append(column)
+    return Review(config)
 
 
 @query("review_summary", _DECISIONS_SQL + ' SELECT tbl AS "table", count(*) FILTER (needs_review) AS needs_review_count, count(*) FILTER (NOT needs_review) AS auto_approved_count FROM r GROUP BY 1')
 def review_summary(spark, d):
-    return resolver.review_summary(_decisions(spark))
+    return spark.createDataFrame([(t, *n) for t, n in _review().summary().items()], "table string, needs_review_count long, auto_approved_count long")
 
 
 @query("flagged_navigation", _DECISIONS_SQL + ', f AS (SELECT * FROM r WHERE needs_review) SELECT tbl AS "table", col AS "column", coalesce(lead(col) OVER w, first_value(col) OVER w2) AS next_column, coalesce(lag(col) OVER w, last_value(col) OVER w2) AS previous_column FROM f WINDOW w AS (PARTITION BY tbl ORDER BY ordinal), w2 AS (PARTITION BY tbl ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')
 def flagged_navigation(spark, d):
-    return resolver.flagged_navigation(_decisions(spark))
+    review = _review()
+    rows = [(t, c, review.next_flagged(t, c), review.next_flagged(t, c, -1)) for t in review.config.tables for c in review.flagged(t)]
+    return spark.createDataFrame(rows, "table string, column string, next_column string, previous_column string")
 
 
 @query("distinct_lengths", "SELECT true AS differ")
 def distinct_lengths(spark, d):
     rows = spark.createDataFrame([(declared_varchar(x),) for x, _ in _DECLARED], "n int")
     return rows.agg((F.count_distinct("n") > 1).alias("differ"))
+
+
+# --- Whole operators over whole tables ----------------------------------------------------------------
+
+
+@query("verify_table", "SELECT count(*) AS source_rows, count(*) AS target_rows, 'o_totalprice' AS \"column\", count(*) FILTER (o_orderkey % 97 = 3) AS mismatches FROM orders")
+def verify_table(spark, d):
+    o = _table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    changed = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 97 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    found = verify.verify_table("orders", o, changed, ["o_orderkey"])
+    return spark.createDataFrame([(found.source_rows, found.target_rows, c, n) for c, n in found.mismatches.items()], "source_rows long, target_rows long, column string, mismatches long")
+
+
+@query("verify_table_unkeyed", "SELECT 'l_returnflag' AS \"column\", count(*) FILTER (l_orderkey % 50 = 7) AS mismatches FROM lineitem")
+def verify_table_unkeyed(spark, d):
+    li = _table(spark, d, "lineitem").select("l_orderkey", "l_returnflag")
+    changed = li.withColumn("l_returnflag", F.when(F.col("l_orderkey") % 50 == 7, F.lit("Z")).otherwise(F.col("l_returnflag")))
+    found = verify.verify_table("lineitem", li, changed, [])
+    return spark.createDataFrame(list(found.mismatches.items()), "column string, mismatches long")
+
+
+_INFERRED = {"orders": {"columns": [("id", 1), ("customer_id", 0), ("part_id", 0)]}, "customer": {"columns": [("id", 1)]}, "part": {"columns": [("id", 1)]}}
+_INFERRED_SQL = "SELECT 'orders' AS child, '{c}_id' AS child_column, '{c}' AS parent, 'id' AS parent_key WHERE NOT EXISTS (SELECT 1 FROM orders WHERE {v} IS NOT NULL AND {v} NOT IN (SELECT {k} FROM {c}))"
+
+
+@query("fk_infer", _INFERRED_SQL.format(c="customer", v="o_custkey", k="c_custkey") + " UNION ALL " + _INFERRED_SQL.format(c="part", v="(o_orderkey + 100000000)", k="p_partkey"))
+def fk_infer(spark, d):
+    names = {"orders": ("o_orderkey AS id", "o_custkey AS customer_id", "o_orderkey + 100000000 AS part_id"), "customer": ("c_custkey AS id",), "part": ("p_partkey AS id",)}
+    found = foreign_keys.infer(_INFERRED, lambda name, column: _table(spark, d, name).selectExpr(*names[name]).select(column))
+    return spark.createDataFrame([(t, fk.columns[0], fk.ref_table, fk.ref_columns[0]) for t, fks in found.items() for fk in fks], "child string, child_column string, parent string, parent_key string")
+
+
+@query("profile_table", "SELECT 'o_orderstatus' AS \"column\", 'text' AS target_type, '' AS transform, false AS needs_review UNION ALL SELECT 'o_flag', 'boolean', 'int_to_bool', bool_and(o_orderkey % 2 IN (0, 1)) FROM orders UNION ALL SELECT 'order_date', 'date', 'yyyymmdd_to_date', false")
+def profile_table(spark, d):
+    o = _table(spark, d, "orders").select("o_orderstatus", (F.col("o_orderkey") % 2).alias("o_flag"), F.date_format("o_orderdate", "yyyyMMdd").cast("bigint").alias("order_date"))
+    metas = [ColumnMeta("o_orderstatus", "TEXT"), ColumnMeta("o_flag", "INTEGER"), ColumnMeta("order_date", "INTEGER")]
+    found = profile(as_cells(o), metas, "orders", sample=None).columns
+    return spark.createDataFrame([(c, x.target_type, x.transform, x.needs_review) for c, x in found.items()], "column string, target_type string, transform string, needs_review boolean")

@@ -92,13 +92,27 @@ def load(path: str) -> MigrationConfig:
     return MigrationConfig(tables=tables, **raw)
 
 
+#: Fields of an answer, and the decision's fields that they set.
+ANSWERS = {"type": "target_type", "target_type": "target_type", "transform": "transform", "rationale": "rationale"}
+
+
 def apply_answers(config: MigrationConfig, answers: dict[str, dict]) -> None:
-    """Merges ``table.column`` -> fields (the last dot parts them) into the document, as human decisions."""
+    """Merges ``table.column`` -> fields (the last dot parts them) into the document, as human decisions.
+
+    A new type without a transform clears the transform that went with the old one. Whether the profile asked for a
+    review stays on record. Nothing changes if an answer names an unknown column or field.
+    """
     for key, fields in answers.items():
         table, dot, column = key.rpartition(".")
         if not dot or table not in config.tables or column not in config.tables[table].columns:
             raise KeyError(f"no column {key!r}")
-        found = config.tables[table].columns[column]
-        for name, value in fields.items():
+        if unknown := sorted(set(fields) - set(ANSWERS)):
+            raise ValueError(f"{key}: no field {unknown[0]!r} in an answer; there are {', '.join(ANSWERS)}")
+    for key, fields in answers.items():
+        table, _, column = key.rpartition(".")
+        found, new = config.tables[table].columns[column], {ANSWERS[k]: v or "" for k, v in fields.items()}
+        if new.get("target_type", found.target_type) != found.target_type:
+            new.setdefault("transform", "")
+        for name, value in new.items():
             setattr(found, name, value)
-        found.source, found.reviewed, found.needs_review = "human_override", True, False
+        found.source, found.reviewed = "human_override", True

@@ -24,6 +24,7 @@ from cellprobe.operators.foreign_keys import violating_rows
 from cellprobe.operators.resolver import THRESHOLD
 from cellprobe.plans import ddl
 from cellprobe.plans.config import MigrationConfig, TableConfig, drifted
+from cellprobe.sources.catalog import backticked
 
 _LOCK = threading.Lock()
 
@@ -70,7 +71,7 @@ def gate(config: MigrationConfig, threshold: float = THRESHOLD, force: bool = Fa
         return []
     reasons = ["the source has changed since it was profiled"] if check_source and drifted(config) else []
     for name, t in sorted(config.tables.items()):
-        for c in t.column_order if t.include else []:
+        for c in t.included() if t.include else []:
             cc = t.columns[c]
             if not cc.reviewed and (cc.needs_review or cc.confidence < threshold):
                 reasons.append(f"{name}.{c}: not reviewed (confidence {cc.confidence:.2f})")
@@ -83,7 +84,7 @@ def transformed(df: DataFrame, table: TableConfig) -> DataFrame:
     out = []
     for c in table.included():
         cc = table.columns[c]
-        source = f"`{c}`"
+        source = backticked(c)
         value = transforms.loaded(cc.transform, cc.target_type, source)
         if cc.not_null or cc.primary_key_seq > 0:
             value = F.when(value.isNull(), F.raise_error(F.lit(f"{c} must not be NULL")).cast(df.sparkSession.range(0).select(F.lit(None).cast(transforms.SPARK_TYPES.get(cc.target_type.split('(')[0], 'string'))).schema[0].dataType)).otherwise(value)
@@ -91,8 +92,10 @@ def transformed(df: DataFrame, table: TableConfig) -> DataFrame:
     return df.select(*out)
 
 
-def _finished(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether the writer's mark is there, on whatever file system the path names."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def load(spark: SparkSession, config: MigrationConfig, read: Callable[[str], DataFrame], root: str, state_path: str, *, force: bool = False, resume: bool = False, threshold: float = THRESHOLD, check_source: bool = True, on_table: Callable[[str, int], None] = lambda *_: None) -> dict[str, int]:
@@ -110,7 +113,7 @@ def load(spark: SparkSession, config: MigrationConfig, read: Callable[[str], Dat
         if not t.included() or table in state.completed:
             continue
         path = f"{root}/{state.database}/{names[table]}"
-        if resume and _finished(path) and not spark.read.parquet(path).isEmpty():
+        if resume and _finished(spark, path) and not spark.read.parquet(path).isEmpty():
             update_state(state_path, lambda s, n=table: s.completed.append(n))
             continue
         seen = F.count(F.lit(1)).alias("rows")

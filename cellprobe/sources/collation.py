@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-#: Spark's nearest collation by SQLite's.
-SPARK_COLLATIONS = {"BINARY": "UTF8_BINARY", "NOCASE": "UTF8_LCASE", "RTRIM": "UTF8_BINARY_RTRIM"}
-
 _TOKEN = re.compile(
     r"""(?P<skip>--[^\n]*|/\*.*?(?:\*/|\Z)|\s+)
       |(?P<literal>'(?:[^']|'')*')

@@ -11,6 +11,7 @@ import json
 import sqlite3
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructField, StructType
 
@@ -23,16 +24,17 @@ class _Range(InputPartition):
         self.low, self.high = low, high
 
 
-def _as_cell(x):
-    if x is None:
-        return None
-    if isinstance(x, int):
-        return ("integer", x, None, None, None)
-    if isinstance(x, float):
-        return ("real", None, x, None, None)
-    if isinstance(x, str):
-        return ("text", None, None, x, None)
-    return ("blob", None, None, None, bytes(x))
+#: Rows of a batch.
+_BATCH = 4096
+_KINDS = {int: "integer", float: "real", str: "text", bytes: "blob"}
+
+
+def _column(values: tuple) -> pa.StructArray:
+    """The values of a column as cells; NULL is a null cell."""
+    kinds = [_KINDS.get(type(v)) for v in values]
+    of = lambda kind: [v if k == kind else None for v, k in zip(values, kinds, strict=True)]
+    parts = [pa.array(kinds, pa.string()), pa.array(of("integer"), pa.int64()), pa.array(of("real"), pa.float64()), pa.array(of("text"), pa.string()), pa.array(of("blob"), pa.binary())]
+    return pa.StructArray.from_arrays(parts, names=CELL.fieldNames(), mask=pa.array([k is None for k in kinds], pa.bool_()))
 
 
 class _Reader(DataSourceReader):
@@ -51,12 +53,13 @@ class _Reader(DataSourceReader):
         step = max(1, -(-(high - low + 1) // self.ranges))
         return [_Range(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         select = f"SELECT {', '.join(map(quoted, self.columns))} FROM {quoted(self.table)}"
         bounds = () if partition.low is None else (partition.low, partition.high)
         with connect(self.path) as db:
-            for row in db.execute(select + " WHERE rowid BETWEEN ? AND ?" * bool(bounds), bounds):
-                yield tuple(map(_as_cell, row))
+            found = db.execute(select + " WHERE rowid BETWEEN ? AND ?" * bool(bounds), bounds)
+            while rows := found.fetchmany(_BATCH):
+                yield pa.RecordBatch.from_arrays([_column(c) for c in zip(*rows, strict=True)], names=self.columns)
 
 
 class SqliteCells(DataSource):

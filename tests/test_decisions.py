@@ -182,3 +182,90 @@ def test_profile_load_verify(spark, database, tmp_path):
     assert not all(r.passed() for r in migrate.verify_load(spark, doc, root, state))
     assert "CREATE TABLE" in ddl.dry_run(doc) and "FOREIGN KEY" in ddl.dry_run(doc)
     assert cli.main(["load", path, "--dry-run"]) == 0
+
+
+def document():
+    columns = {"id": config.ColumnConfig("INTEGER", "bigint", primary_key_seq=1, confidence=1.0), "on": config.ColumnConfig("INTEGER", "boolean", "int_to_bool", 0.5, needs_review=True), "old": config.ColumnConfig("TEXT", config.DROP, confidence=0.4)}
+    other = config.TableConfig(columns={"id": config.ColumnConfig("INTEGER", "bigint", primary_key_seq=1, confidence=1.0)}, column_order=["id"])
+    return config.MigrationConfig("x", tables={"a.b": config.TableConfig(columns=columns, column_order=list(columns)), "c": other})
+
+
+def test_answers():
+    doc = document()
+    config.apply_answers(doc, {"a.b.on": {"type": "integer"}})
+    on = doc.tables["a.b"].columns["on"]
+    assert (on.target_type, on.transform, on.source, on.reviewed, on.needs_review) == ("integer", "", "human_override", True, True)
+    config.apply_answers(doc, {"a.b.on": {"type": "boolean", "transform": "int_to_bool", "rationale": "said so"}})
+    assert (on.target_type, on.transform, on.rationale) == ("boolean", "int_to_bool", "said so")
+    config.apply_answers(doc, {"a.b.on": {"type": "boolean"}})
+    assert on.transform == "int_to_bool"
+    before = (on.target_type, on.transform)
+    for wrong, error in (({"a.b.on": {"type": "text"}, "a.b.no": {"type": "text"}}, KeyError), ({"a.b.on": {"type": "text", "kind": "x"}}, ValueError)):
+        with pytest.raises(error):
+            config.apply_answers(doc, wrong)
+        assert (on.target_type, on.transform) == before
+
+
+def test_gate_passes_over_dropped_columns():
+    doc = document()
+    assert [r.split(":")[0] for r in load.gate(doc, check_source=False)] == ["a.b.on"]
+    doc.tables["a.b"].columns["on"].reviewed = True
+    assert load.gate(doc, check_source=False) == []
+
+
+def test_keys_that_the_target_lacks():
+    doc = document()
+    key = lambda own, table, ref: ddl.invalid_reason(doc, "a.b", config.ForeignKey([own], table, [ref]))
+    assert key("on", "c", "id") == ""
+    assert '"a.b"."old"' in key("old", "c", "id") and '"c"."x"' in key("on", "c", "x") and '"gone"' in key("on", "gone", "id")
+    doc.tables["c"].include = False
+    assert '"c"' in key("on", "c", "id")
+
+
+def test_report_shows_samples_and_findings(spark, tmp_path):
+    import yaml
+
+    from cellprobe.operators.resolver import FileResolver
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(x,) for x in [0, 1, 1, 1, 0, 1]], "v int").select(cells.integer(F.col("v")).alias("flag"))
+    cases = profile(df, [ColumnMeta("flag", "INTEGER")], "t").unresolved
+    FileResolver(str(tmp_path / "r.yaml")).resolve(cases)
+    told = yaml.safe_load((tmp_path / "r.yaml").read_text())["unresolved"]
+    assert told and all(case["samples"] == ["1 (x4)", "0 (x2)"] and case["findings"] and case["table"] == "t" for case in told)
+
+
+def test_transformed_keys_are_compared_as_multisets(spark, tmp_path):
+    path = str(tmp_path / "k.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t(day TEXT PRIMARY KEY, v INTEGER)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [("2021-01-02", 1), ("Jan 2, 2021", 2), ("2021-01-03", 3)])
+    columns = {"day": config.ColumnConfig("TEXT", "date", "iso8601_to_date", 1.0, reviewed=True, primary_key_seq=1), "v": config.ColumnConfig("INTEGER", "bigint", confidence=1.0, reviewed=True)}
+    doc = config.MigrationConfig(path, config.file_hash(path), tables={"t": config.TableConfig(columns=columns, column_order=["day", "v"])})
+    from cellprobe.sources.sqlite_cells import read_table
+
+    state, root = str(tmp_path / "state"), str(tmp_path / "out")
+    assert load.load(spark, doc, lambda t: read_table(spark, path, t), root, state) == {"t": 3}
+    (result,) = migrate.verify_load(spark, doc, root, state)
+    assert result.passed() and not result.ordered
+
+
+def test_flags_that_exclude_each_other(capsys):
+    with pytest.raises(SystemExit) as stop:
+        cli.main(["load", "x.yaml", "--verify", "--noverify"])
+    assert stop.value.code == 2 and "exclude" in capsys.readouterr().err
+
+
+def test_cells_of_every_storage_class_in_key_order(spark, tmp_path):
+    from cellprobe.sources.sqlite_cells import read_ordered, read_table
+
+    path = str(tmp_path / "s.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t(k, v)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [("b", 1), (2, 2.5), (b"x", None), (10, b"\x00"), (1.5, "t"), ("a", 2**62)])
+    got = read_table(spark, path, "t", ["v"]).collect()
+    plain = lambda x: tuple(bytes(y) if isinstance(y, bytearray) else y for y in x) if x else None
+    assert sorted(str(plain(r.v)) for r in got) == sorted(str(x) for x in [("integer", 1, None, None, None), ("real", None, 2.5, None, None), None, ("blob", None, None, None, b"\x00"), ("text", None, None, "t", None), ("integer", 2**62, None, None, None)])
+    keys = [r.k for r in read_ordered(spark, path, "t", ["k"]).collect()]
+    assert [next(x for x in tuple(k)[1:] if x is not None) for k in keys] == [1.5, 2, 10, "a", "b", b"x"]
