@@ -94,10 +94,8 @@ class Encoder:
         self.token_of = {self._key(t): i for t, i in self.vocab.items() if self.rank[i] < 0 or self._compatible(self.left[i], self.right[i], self.rank[i])}
         self.starts = {key[:n] for key in self.token_of for n in range(1, len(key) + 1)}
         self.state = _Memo(self._state, 2 * len(self.starts))
-        #: A tree of prefixes. An entry: the entries one symbol longer, the automaton's state, the prefix's last token, and
-        #: the entry of the prefix before that token.
-        self.root: tuple = ({}, "", -1, None)
-        self.held = 0
+        #: By prefix of a short word: its automaton state, its last token, and the entry of the prefix before that token.
+        self.prefixes: dict[str, tuple] = {}
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.ids = _Memo(self._word_bytes, self.REMEMBERED, self.LONGEST)
         self.shown = _Memo(lambda w: self.decode_bytes(self.ids[w]), self.REMEMBERED, self.LONGEST)
@@ -131,40 +129,50 @@ class Encoder:
         found = ((len(read) - i, self.token_of.get(read[i:])) for i in range(len(read)))
         return read, tuple((n, t) for n, t in found if t is not None)
 
+    def _entry(self, symbol: str, now: str, at: int, entry_of, word: str) -> tuple:
+        """The entry of the prefix that ends with ``symbol`` at position ``at``, after state ``now``; ``entry_of`` has those before by length."""
+        now, ends = self.state[now + symbol]
+        for length, token in ends:
+            before = entry_of(at + 1 - length) if length <= at else None
+            if before is None or self.fits[before[1] << 20 | token]:
+                return now, token, before
+        raise ValueError(f"no token ends at {at} of {word!r}")
+
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer. Time and memory grow with its length."""
         s = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
-        last, fits, state, shared = len(s) - 1, self.fits, self.state, self.SHARED
-        if self.held > self.PREFIXES:
-            self.root, self.held = ({}, "", -1, None), 0
-        entry, path = self.root, []  # path: the entries of the prefixes, shortest first
-        for symbol in s[: min(last, shared)]:
-            found = entry[0].get(symbol)
-            if found is None:
-                break
-            entry = found
-            path.append(entry)
-        now = entry[1]
-        for i in range(len(path), last + 1):
-            now, ends = state[now + (s[i] if i < last else chr(ord(s[i]) + _FINAL))]
-            for length, token in ends:
-                before = path[i - length] if length <= i else None
-                if before is None or fits[before[2] << 20 | token]:
-                    break
-            else:
-                raise ValueError(f"no token ends at {i} of {word!r}")
-            if i < shared and i < last:
-                new = ({}, now, token, before)
-                entry[0][s[i]] = new
-                self.held += 1
-            else:
-                new = (None, now, token, before)
-            entry = new
-            path.append(entry)
+        last = len(s) - 1
+        if last >= self.SHARED:  # entries of its own: prefixes as keys would take the square of its length
+            path: list[tuple] = [("", -1, None)]
+            for i in range(last):
+                path.append(self._entry(s[i], path[i][0], i, path.__getitem__, word))
+            entry = self._entry(chr(ord(s[last]) + _FINAL), path[last][0], last, path.__getitem__, word)
+        else:
+            known, fits, state = self.prefixes, self.fits, self.state
+            if len(known) + last > self.PREFIXES:
+                known.clear()
+            # The longest prefix that is known, with entries for all shorter ones.
+            have = last
+            entry = known.get(s[:have])
+            while have and entry is None:
+                have -= 1
+                entry = known.get(s[:have])
+            now = entry[0] if have else ""
+            for i in range(have, last + 1):
+                now, ends = state[now + (s[i] if i < last else chr(ord(s[i]) + _FINAL))]
+                for length, token in ends:
+                    before = known[s[: i + 1 - length]] if length <= i else None
+                    if before is None or fits[before[1] << 20 | token]:
+                        break
+                else:
+                    raise ValueError(f"no token ends at {i} of {word!r}")
+                entry = (now, token, before)
+                if i < last:
+                    known[s[: i + 1]] = entry
         out = []
         while entry:
-            out.append(entry[2])
-            entry = entry[3]
+            out.append(entry[1])
+            entry = entry[2]
         out.reverse()
         return out
 

@@ -267,3 +267,21 @@ def test_redact(spark, odd, vocabulary):
     assert [r.text for r in secrets.redact(docs, vocabulary).orderBy("doc_id").collect()] == ['x <SECRET>" y', None, "fine"]
     assert secrets.redact(odd, vocabulary).columns == odd.columns
 
+
+
+def test_long_words_in_linear_time(vocabulary):
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    from cellprobe.llm.bpe import encoder
+
+    enc, library = encoder(vocabulary), Tokenizer.from_file(vocabulary)
+    rng = random.Random(3)
+    for word in ("a" * 5000, "x1" * 2000, "é" * 700, "".join(rng.choice("abcdefgh") for _ in range(4000)), "q" * 48, "q" * 49, "q" * 47):
+        want = library.encode(word, add_special_tokens=False).ids
+        assert enc.encode_bytes(word) == b"".join(i.to_bytes(4, "little") for i in want)
+    began = time.process_time()
+    enc.encode_bytes("a" * 500_000)
+    assert time.process_time() - began < 30 and len(enc.prefixes) < 1000
