@@ -15,8 +15,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 #: Code points of this offset stand for a byte symbol that ends a word.
 _FINAL = 0x10000
 _ENCODERS: dict[str, "Encoder"] = {}
+_LIBRARY_ENCODERS: dict[str, "LibraryEncoder"] = {}
 
 
 def _byte_symbols() -> list[str]:
@@ -55,33 +58,89 @@ class _Memo(dict):
         return out
 
 
-class Encoder:
-    """Encodes and decodes as a ``tokenizers`` BPE file with word-end suffix and byte-level symbols prescribes."""
+def _in_latin(pattern: str) -> str:
+    """``pattern`` for the standard module, which is faster: its classes spelt out for the characters of Latin-1."""
+    import regex
+
+    for name in (r"\s", r"\p{L}", r"\p{N}"):
+        own = "".join(f"\\x{c:02x}" for c in range(256) if regex.match(name, chr(c)))
+        pattern = pattern.replace(f"[{name}]", f"[{own}]").replace(name, own)
+    return pattern
+
+
+class Splitter:
+    """Splits texts into words as the normalizer and the pre-tokenizer of a ``tokenizers`` file prescribe."""
 
-    REMEMBERED = 600_000
-    PREFIXES = 500_000
-    PAIRS = 400_000
-    #: Prefixes of up to so many symbols are shared among words, and words of up to so many characters are remembered.
-    SHARED, LONGEST = 48, 200
     #: Ranges in which all Unicode versions of the last years agree on letters, digits and case; texts beyond go through the library's own splitter.
     AGREED = r"[\x00-\u052F\u1E00-\u1FFF\u2010-\u205F\u20A0-\u20BF\u2100-\u214F\u2190-\u23FF\u2500-\u27BF\u3000-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FEF\uAC00-\uD7A3\uFF00-\uFFEF\U0001F300-\U0001F64F]*+"
 
-    def __init__(self, path: str):
+    def _read(self, path: str) -> dict:
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.suffix = model["end_of_word_suffix"]
-        self.vocab: dict[str, int] = model["vocab"]
+        self.path = path
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text_of = {i: t.encode() for t, i in [*self.vocab.items(), *self.specials.items()]}
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split).findall
+        self.latin_words = re.compile(_in_latin(split)).findall
         self.agreed = regex.compile(self.AGREED).fullmatch
-        self.path = path
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.symbols = _byte_symbols()
+        return spec
+
+    def shown_bytes(self, word: str) -> str:
+        """The word's bytes by their stand-ins."""
+        return word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+
+    def split(self, text: str) -> list[str]:
+        """Words of a text without special tokens: NFC, lower case, then the file's own pattern."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:  # always NFC, and Latin-1 when lowered
+            return self.latin_words(text.lower())
+        if not self.agreed(text):
+            return self._library_split(text)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ")  # each character is lowered by itself, without a final form
+        return self.words(text.lower())
+
+    @functools.cached_property
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _library_split(self, text: str) -> list[str]:
+        text = self._library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _parts(self, text: str) -> Iterator[tuple[list[str], str | None]]:
+        """Words up to each special token, and that token."""
+        start = 0
+        if self.special and "<|" in text:
+            for m in self.special.finditer(text):
+                yield self.split(text[start : m.start()]), m.group()
+                start = m.end()
+        yield self.split(text[start:]), None
+
+
+class Encoder(Splitter):
+    """Encodes and decodes as a ``tokenizers`` BPE file with word-end suffix and byte-level symbols prescribes."""
+
+    REMEMBERED = 600_000
+    PREFIXES = 500_000
+    PAIRS = 400_000
+    #: Prefixes of up to so many symbols are shared among words, and words of up to so many characters are remembered.
+    SHARED, LONGEST = 48, 200
+    def __init__(self, path: str):
+        model = self._read(path)["model"]
+        self.suffix = model["end_of_word_suffix"]
+        self.vocab: dict[str, int] = model["vocab"]
+        self.text_of = {i: t.encode() for t, i in [*self.vocab.items(), *self.specials.items()]}
         size = 1 + max(self.vocab.values())
         self.rank, self.left, self.right = [-1] * size, list(range(size)), list(range(size))
         self.merged: dict[int, int] = {}
@@ -140,8 +199,10 @@ class Encoder:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer. Time and memory grow with its length."""
-        s = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+        s = self.shown_bytes(word)
         last = len(s) - 1
+        if len(self.prefixes) + last > self.PREFIXES:
+            self.prefixes.clear()
         if last >= self.SHARED:  # entries of its own: prefixes as keys would take the square of its length
             path: list[tuple] = [("", -1, None)]
             for i in range(last):
@@ -149,8 +210,6 @@ class Encoder:
             entry = self._entry(chr(ord(s[last]) + _FINAL), path[last][0], last, path.__getitem__, word)
         else:
             known, fits, state = self.prefixes, self.fits, self.state
-            if len(known) + last > self.PREFIXES:
-                known.clear()
             # The longest prefix that is known, with entries for all shorter ones.
             have = last
             entry = known.get(s[:have])
@@ -179,35 +238,6 @@ class Encoder:
     def _word_bytes(self, word: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.word_ids(word)))
 
-    def split(self, text: str) -> list[str]:
-        """Words of a text without special tokens: NFC, lower case, then the file's own pattern."""
-        if not text.isascii():
-            if not self.agreed(text):
-                return self._library_split(text)
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # each character is lowered by itself, without a final form
-        return self.words(text.lower())
-
-    @functools.cached_property
-    def _library(self):
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(self.path)
-
-    def _library_split(self, text: str) -> list[str]:
-        text = self._library.normalizer.normalize_str(text)
-        return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
-
-    def _parts(self, text: str) -> Iterator[tuple[list[str], str | None]]:
-        """Words up to each special token, and that token."""
-        start = 0
-        if self.special and "<|" in text:
-            for m in self.special.finditer(text):
-                yield self.split(text[start : m.start()]), m.group()
-                start = m.end()
-        yield self.split(text[start:]), None
-
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; nothing for null."""
         out = []
@@ -233,6 +263,52 @@ class Encoder:
         return b"".join(ids), b" ".join(shown)
 
 
+class LibraryEncoder(Splitter):
+    """Encodes with the library's own model, a word once while it is remembered."""
+
+    REMEMBERED, LONGEST = 300_000, 200
+    #: Texts of so many characters are encoded together.
+    TOGETHER = 1 << 21
+
+    def __init__(self, path: str):
+        self._read(path)
+        self.tokenize = self._library.model.tokenize
+        self.ids = _Memo(self._word_bytes, self.REMEMBERED, self.LONGEST)
+
+    def _word_bytes(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize(self.shown_bytes(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        split = [list(self._parts(t)) for t in texts]
+        # Each different word of these texts is looked up once: a small table is read far faster than the large one.
+        different: set[str] = set()
+        for parts in split:
+            for words, _ in parts:
+                different.update(words)
+        of = {w: self.ids[w] for w in different}
+        for parts in split:
+            yield b"".join([b"".join(map(of.__getitem__, words)) + (self.specials[s].to_bytes(4, "little") if s else b"") for words, s in parts])
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; nothing for null."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= self.TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    """The worker's library encoder of a file."""
+    if path not in _LIBRARY_ENCODERS:
+        _LIBRARY_ENCODERS[path] = LibraryEncoder(path)
+    return _LIBRARY_ENCODERS[path]
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file."""
     if path not in _ENCODERS:

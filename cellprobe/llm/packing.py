@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellprobe.llm.bpe import encoder
+from cellprobe.llm.bpe import library_encoder
 from cellprobe.llm.io import cut
 
 #: Chunks of a length's pieces: so many at least, and more where a chunk of all pieces would have over so many rows.
@@ -79,12 +79,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, id_col: str =
     """(id, piece, start, length, ids_crc32[, ids]) of every text's ids and the closing id; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), END_OF_DOCUMENT.to_bytes(4, "little")
+        enc, end = library_encoder(vocabulary), END_OF_DOCUMENT.to_bytes(4, "little")
         step = 4 * capacity
         for batch in batches:
             rows, ids_out = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = enc.encode_bytes(text) + end
+            for i, ids in enumerate(enc.encode_all(t.as_py() for t in batch.column(1))):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))

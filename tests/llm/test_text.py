@@ -285,3 +285,28 @@ def test_long_words_in_linear_time(vocabulary):
     began = time.process_time()
     enc.encode_bytes("a" * 500_000)
     assert time.process_time() - began < 30 and len(enc.prefixes) < 1000
+
+
+def test_library_encoder_against_library(vocabulary):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from cellprobe.llm.bpe import encoder, library_encoder
+
+    rng, library = random.Random(2), Tokenizer.from_file(vocabulary)
+    pool = "".join(map(chr, range(256))) + " aé's\u0152\u03a3\u0130\u00bd\u212a "
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["x<|endoftext|>y", None, "", "\x1c\x1d a\x85b\xa0c", "it's we'LL 'S", "a" * 50_000, "word " * 300_000]
+    want = [b"".join(i.to_bytes(4, "little") for i in library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert list(library_encoder(vocabulary).encode_all(texts)) == want
+    assert [encoder(vocabulary).encode_bytes(t) for t in texts] == want
+
+
+def test_packing_keeps_a_small_table(vocabulary):
+    """Packing left tables of up to 600,000 words and 500,000 prefixes in a worker, which the next stage's memory paid for."""
+    from cellprobe.llm import bpe
+
+    enc = bpe.LibraryEncoder(vocabulary)
+    list(enc.encode_all(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}q" for i in range(at, at + 100_000)) for at in range(0, 456_976, 100_000)))
+    assert 0 < len(enc.ids) + len(enc.ids.older) <= enc.REMEMBERED and not hasattr(enc, "prefixes")
