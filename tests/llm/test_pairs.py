@@ -140,6 +140,31 @@ def test_near_dedup_stage_takes_near_copies(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
+def test_near_dedup_stage_links_near_simhashes(spark):
+    """Texts within two bits of SimHash go though they share few shingles in order: their sets of five words differ."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    part, other = "a b c d e f g h i j k l m", "n o p q r s t u v w x y z"
+    rows = [(1, " ".join([part] * 40)), (2, " ".join([part] * 40 + [other])), (3, other)]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in shingles.jaccard_dedup(df).collect()) == [1, 2, 3]
+
+
+def test_jaccard_sets_travel_in_rounds(spark, monkeypatch):
+    """A group of near copies has pairs by the square of its size; sets went along with each."""
+    monkeypatch.setattr(shingles, "ROUND_BYTES", 1000)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 200, 4)]
+    entries = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "e long, text string")
+    links = shingles.jaccard_links(entries).collect()
+    assert len({min(r) for r in links} | {max(r) for r in links}) == 50 and len(links) < 50 * 49 / 8
+    assert set(dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect())).values()) == {0}
+
+
 # --- lines --------------------------------------------------------------------------------------------
 
 
