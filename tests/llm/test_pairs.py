@@ -286,6 +286,26 @@ def test_lines_odd_rows(spark, odd, empty):
     assert {r.doc_id: r.text == "" for r in lines.line_dedup(many).collect()}[2]
 
 
+def test_lines_of_a_common_feature(spark, monkeypatch):
+    """Pairs that share one feature only, which a long run shares: two were asked for, and of longer runs the least entry."""
+    monkeypatch.setattr(lines, "RUN", 8)
+    monkeypatch.setattr(lines, "PART", 5)
+    rng = random.Random(7)
+    rows = []
+    for e in range(60):  # 30 pairs of like SimHashes, in one run; the other features of all differ
+        if e % 2 == 0:
+            sim, bits = rng.getrandbits(63), rng.getrandbits(63) | 1
+        rows.append((e, 0, sim ^ (e % 2) * (1 << rng.randrange(63)), bits, 50, [1, *(1000 + e * 5 + i for i in range(5))]))
+    entries = spark.createDataFrame(rows, "k1 long, k2 long, sim long, bits long, len int, blocks array<long>")
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if (a[2] ^ b[2]).bit_count() <= 24 and (a[3] & b[3]).bit_count() >= lines.LEAST_SHARE * min(a[3].bit_count(), b[3].bit_count())}
+    pairs, long, path = lines._candidates(entries, 0.8, 24)
+    first = {tuple(r) for r in pairs.collect()}
+    rest = {tuple(r) for r in lines._unconnected(long, pairs.where("a = 0"), 0.8, 24).collect()}
+    assert first <= want and {(e, e + 1) for e in range(0, 60, 2)} <= want
+    joined = {x for r in first if 0 in r for x in r} | {0}
+    assert rest == {(a, b) for a, b in want if not (a in joined and b in joined)}
+
+
 # --- substrings ---------------------------------------------------------------------------------------
 
 
