@@ -36,6 +36,26 @@ def test_components(spark, edges):
     assert got == {x: want[x] for x in nodes}
 
 
+def test_shuffle_files_go_with_their_step(spark):
+    """A checkpoint's plan was made before the step began, and its shuffle files stayed until some garbage collection."""
+    import time
+
+    from cellprobe.llm.io import cut
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before = files()
+    kept = cut(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count().join(spark.range(5).selectExpr("id AS k"), "k"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 5
+
+
 # --- SimHash ------------------------------------------------------------------------------------------
 
 
