@@ -326,6 +326,34 @@ def test_lines_of_a_common_feature(spark, monkeypatch):
     assert rest == {(a, b) for a, b in want if not (a in joined and b in joined)}
 
 
+def test_sketches_rule_out_no_similar_lines(spark):
+    """Of the lines of a long run all close pairs were verified; now those that can't be similar are left out, and no other."""
+    from pyspark.sql import functions as F
+
+    rng, texts = random.Random(8), []
+    for n in (5, 6, 9, 12, 20, 33, 60):
+        for _ in range(4):
+            base = ["w" + str(rng.randrange(500)) for _ in range(n)]
+            texts.append(base)
+            for _ in range(4):
+                own = list(base)
+                for _ in range(n // 5):
+                    at = rng.randrange(len(own))
+                    own[at : at + 1] = rng.choice([[], ["new"], ["new", own[at]]])
+                texts.append(own)
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(texts)], "doc_id long, text string")
+    entries = lines._entries(lines._lines(docs, "doc_id", "text", 5, 20)).cache()
+    coded = lines._coded(docs, "doc_id", "text", entries, entries.select("k1"), 5, 20).cache()
+    pairs = coded.alias("a").join(coded.alias("b"), F.col("a.k1") < F.col("b.k1"))
+    longer = "greatest(length(a.code), length(b.code))"
+    rows = pairs.select("a.k1", F.col("b.k1").alias("k2"), F.expr(f"levenshtein(a.code, b.code) <= floor({longer} - 0.8D * {longer} + 1e-9D)").alias("similar"), lines._room(0.8).alias("room")).collect()
+    assert sum(r.similar for r in rows) > 100 and all(r.room for r in rows if r.similar)
+    assert sum(r.room for r in rows if not r.similar) < 0.02 * len(rows)
+    long = coded.selectExpr("k1 AS e", "1L AS key", "0L AS sim", "1L AS bits", "50 AS len", "128L AS n")
+    got = {tuple(r) for r in lines._unconnected(long, spark.createDataFrame([], "a long, b long"), 0.8, 24, coded=coded).collect()}
+    assert got == {(r.k1, r.k2) for r in rows if r.room}
+
+
 # --- substrings ---------------------------------------------------------------------------------------
 
 
