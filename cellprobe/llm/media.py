@@ -8,8 +8,9 @@ transform that they imply; enough distinct corners for one transform link the im
 form a class.
 
 A run of one index key of up to ``all_pairs`` corners is compared pair by pair. In a longer one, such as the
-corners of a logo on very many images, each corner is compared with the run's first ones and its next ones
-only, so links grow with the run's length; images of the class stay connected through those.
+corners of a logo on very many images, each corner is first compared with the run's first ones and its next ones.
+Then all pairs of the longer runs whose images the links so far do not connect are compared as well, and vote together
+with what their images share in other runs. So classes are those of all links; of the links, only enough are made.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellprobe.llm.components import components
-from cellprobe.llm.io import cut, integral
+from cellprobe.llm.io import cut, drop, integral, written
 
 PATCH, NMS, TURNS, LEVELS = 7, 7, 32, 3
 _FEATURE = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "u1"), ("turn", "u1"), ("d", "<u8")])
@@ -183,8 +184,38 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict(columns)
 
 
+#: Corners that share a key, each with its image; each task compares so many of a long run with all of it.
+_CORNER, PART = ("image", "x", "y", "scale", "turn"), 2000
+_VOTE = "a bigint, b bigint, scale int, turn int, offset int, dx int, dy int, spot bigint"
+
+
+def _transforms(a: dict[str, np.ndarray], b: dict[str, np.ndarray], bin_size: float) -> pa.RecordBatch:
+    """Votes of matching corners a and b, a of the lesser image: the transforms that take a to b."""
+    scale = b["scale"] - a["scale"]
+    turn = (b["turn"] - a["turn"]) % TURNS
+    angle, zoom = 2 * np.pi * turn / TURNS, np.exp2(scale)
+    dx = b["x"] - zoom * (np.cos(angle) * a["x"] - np.sin(angle) * a["y"])
+    dy = b["y"] - zoom * (np.sin(angle) * a["x"] + np.cos(angle) * a["y"])
+    half = np.repeat([0.0, 0.5], len(scale))  # bins at two offsets, so that no border parts near votes
+    cell = lambda v: np.floor(np.tile(v, 2) / bin_size + half).astype(np.int32)
+    spot = (a["x"].astype(np.int64) << 32) | (a["y"].astype(np.int64) << 4) | a["scale"]
+    twice = lambda v: np.tile(v, 2)
+    return pa.RecordBatch.from_pydict({"a": twice(a["image"]), "b": twice(b["image"]), "scale": twice(scale).astype(np.int32), "turn": twice(turn).astype(np.int32), "offset": (2 * half).astype(np.int32), "dx": cell(dx), "dy": cell(dy), "spot": twice(spot)})
+
+
+def _voted(bin_size: float):
+    """Pairs of corners, the columns of each with its side's name before them, to votes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ({c: batch.column(f"{side}_{c}").to_numpy(zero_copy_only=False) for c in _CORNER} for side in "ab")
+            yield _transforms(a, b, bin_size)
+
+    return run
+
+
 def _votes(distance: int, all_pairs: int, bin_size: float):
-    """Candidate matches in runs of equal keys, as votes for a transform."""
+    """Candidate matches in runs of equal keys, as votes for a transform; of long runs neighbours only."""
 
     def pairs(row: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key = row["key"]
@@ -212,16 +243,8 @@ def _votes(distance: int, all_pairs: int, bin_size: float):
             return None
         swap = row["image"][i] > row["image"][j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        scale = row["scale"][j] - row["scale"][i]
-        turn = (row["turn"][j] - row["turn"][i]) % TURNS
-        angle, zoom = 2 * np.pi * turn / TURNS, np.exp2(scale)
-        dx = row["x"][j] - zoom * (np.cos(angle) * row["x"][i] - np.sin(angle) * row["y"][i])
-        dy = row["y"][j] - zoom * (np.sin(angle) * row["x"][i] + np.cos(angle) * row["y"][i])
-        half = np.repeat([0.0, 0.5], len(i))  # bins at two offsets, so that no border parts near votes
-        cell = lambda v: np.floor(np.tile(v, 2) / bin_size + half).astype(np.int32)
-        spot = (row["x"][i].astype(np.int64) << 32) | (row["y"][i].astype(np.int64) << 4) | row["scale"][i]
-        twice = lambda v: np.tile(v, 2)
-        return pa.RecordBatch.from_pydict({"a": twice(row["image"][i]), "b": twice(row["image"][j]), "scale": twice(scale).astype(np.int32), "turn": twice(turn).astype(np.int32), "offset": (2 * half).astype(np.int32), "dx": cell(dx), "dy": cell(dy), "spot": twice(spot)})
+        a, b = ({c: row[c][k] for c in _CORNER} for k in (i, j))
+        return _transforms(a, b, bin_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -246,16 +269,39 @@ def _votes(distance: int, all_pairs: int, bin_size: float):
     return run
 
 
+def _linked(votes: DataFrame, least: int) -> DataFrame:
+    counted = votes.groupBy("a", "b", "scale", "turn", "offset", "dx", "dy").agg(F.count_distinct("spot").alias("n")).where(F.col("n") >= least)
+    return counted.select("a", "b").distinct()
+
+
 def image_links(entries: DataFrame, distance: int = 6, least: int = 6, all_pairs: int = 64, bin_size: float = 6.0) -> DataFrame:
-    """(a, b, n): images (id bigint, corners binary) with n distinct corners in one transform, at least ``least``."""
+    """(a, b): links that connect all images (id bigint, corners binary) with ``least`` distinct corners in one transform."""
+    spark = entries.sparkSession
     index = entries.select("id", "corners").mapInArrow(_index, "key bigint, image bigint, x float, y float, scale int, turn int, d bigint")
-    votes = index.repartition("key").sortWithinPartitions("key", "image").mapInArrow(_votes(distance, all_pairs, bin_size), "a bigint, b bigint, scale int, turn int, offset int, dx int, dy int, spot bigint")
-    counted = votes.groupBy("a", "b", "scale", "turn", "offset", "dx", "dy").agg(F.count_distinct("spot").alias("n")).where(F.col("n") >= least)
-    return counted.groupBy("a", "b").agg(F.max("n").alias("n"))
+    votes, path = written(index.repartition("key").sortWithinPartitions("key", "image").mapInArrow(_votes(distance, all_pairs, bin_size), _VOTE), hashes=True)
+    links = cut(_linked(votes, least))
+    runs = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > all_pairs))
+    if not runs.isEmpty():
+        parts = components(links).select(F.col("node").alias("image"), F.col("component").alias("part"))
+        known = cut(index.join(runs, "key").join(parts, "image", "left").withColumn("part", F.coalesce("part", "image")))
+        mixed = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+        rows = cut(known.join(mixed, "key", "left_semi"))
+        a = rows.withColumn("share", F.explode(F.expr(f"sequence(0L, n div {PART})"))).alias("a")
+        b = rows.withColumn("share", F.pmod(F.xxhash64("image", "x", "y"), F.expr(f"1 + n div {PART}"))).alias("b")
+        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.share") == F.col("b.share")) & (F.col("a.image") < F.col("b.image")) & (F.col("a.part") != F.col("b.part"))
+        near = F.bit_count(F.col("a.d").bitwiseXOR(F.col("b.d"))) <= distance
+        met = a.join(b, same & near).select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in _CORNER])
+        more, more_path = written(met.mapInArrow(_voted(bin_size), _VOTE), hashes=True)
+        # A pair's corners may meet in long runs and in others: all its votes count, each spot once.
+        before = votes.join(more.select("a", "b").distinct(), ["a", "b"], "left_semi")
+        links = cut(links.unionAll(_linked(before.unionAll(more.select(before.columns)), least)))
+        drop(spark, more_path)
+    drop(spark, path)
+    return links
 
 
 def copy_classes(images: DataFrame, id_col: str = "id", image_col: str = "image", **options) -> DataFrame:
-    """(id, n_corners, class_id, n_links) of every row: the least id of the class, and the entries linked to its pixels' entry.
+    """(id, n_corners, class_id) of every row: the least id of the class.
 
     Null or undecodable images are classes of their own, with n_corners null. Rows with a null id get the class of
     the images that theirs equals, or null. Repeated rows and equal images share a class. Images too small for a
@@ -267,15 +313,13 @@ def copy_classes(images: DataFrame, id_col: str = "id", image_col: str = "image"
     entries = cut(rows.where("pixels is not null and id is not null").groupBy("pixels").agg(F.min("id").alias("id"), F.first("corners").alias("corners")))
     # Rows that share an id but not their pixels would be one node: the entry's own number keeps them apart.
     entries = entries.withColumn("node", F.xxhash64("pixels"))
-    links = cut(image_links(entries.select(F.col("node").alias("id"), "corners"), **options))
-    parts = components(links)
-    counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+    parts = components(image_links(entries.select(F.col("node").alias("id"), "corners"), **options))
     classed = entries.select("pixels", "id", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classed.groupBy("component").agg(F.min("id").alias("class_id"))
-    by_pixels = cut(classed.join(least, "component").join(counts, "node", "left").select("pixels", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    by_pixels = cut(classed.join(least, "component").select("pixels", "class_id"))
     out = rows.join(by_pixels, "pixels", "left")
     n = (F.octet_length("corners") / _FEATURE.itemsize).cast("int")
-    return out.select(F.col("id").alias(id_col), n.alias("n_corners"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("id").alias(id_col), n.alias("n_corners"), F.coalesce("class_id", "id").alias("class_id"))
 
 
 _BLOCK_TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|</?(?:p|h\d|li|div|br|article|nav|title|body|ul)\b[^>]*>", re.S | re.I)

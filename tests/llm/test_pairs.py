@@ -503,6 +503,26 @@ def test_media(spark):
     assert media.copy_classes(df.limit(0)).count() == 0
 
 
+def test_no_image_link_is_lost_in_long_runs(spark, monkeypatch):
+    """Corners of one descriptor on all images: a corner met the first four and the next four of its run only."""
+    monkeypatch.setattr(media, "PART", 20)
+    rng, rows, places = np.random.default_rng(4), [], {}
+    for i in range(48):
+        like = {11: 3, 40: 22, 41: 22, 30: 29}.get(i)
+        own = places[like] + 9 if like is not None else rng.integers(0, 4000, (8, 2))
+        places[i] = own
+        f = np.zeros(8, media._FEATURE)
+        f["x"], f["y"] = own[:, 0], own[:, 1]
+        f["d"] = np.arange(8) << 34 | 5  # the low half of all is equal
+        f["d"][5:] += np.uint64(i // 2 % 3) << np.uint64(50)
+        rows.append((i, f.tobytes()))
+    entries = spark.createDataFrame(rows, "id long, corners binary")
+    whole = dict(map(tuple, components(media.image_links(entries, all_pairs=10**6)).collect()))
+    assert whole[11] == 3 and whole[40] == whole[41] == 22 and whole[30] == 29 and len(whole) == 7
+    for all_pairs in (4, 16, 64):
+        assert dict(map(tuple, components(media.image_links(entries, all_pairs=all_pairs)).collect())) == whole
+
+
 def test_png():
     import struct
     import zlib
