@@ -354,6 +354,29 @@ def test_sketches_rule_out_no_similar_lines(spark):
     assert got == {(r.k1, r.k2) for r in rows if r.room}
 
 
+def test_long_runs_make_links_only(spark):
+    """The join of a long run made all pairs that sketches leave, which were verified after it; it makes links only."""
+    rng, texts = random.Random(9), []
+    for n in (5, 8, 14, 30, 90):
+        for _ in range(3):
+            base = ["w" + str(rng.randrange(40)) for _ in range(n)]
+            for edited in (0, n // 5, n // 5, n // 5 + 1, n // 4 + 1):
+                texts.append([f"new{rng.randrange(9)}" if i in set(rng.sample(range(n), edited)) else w for i, w in enumerate(base)])
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(texts)], "doc_id long, text string")
+    entries = lines._entries(lines._lines(docs, "doc_id", "text", 5, 20)).cache()
+    coded = lines._coded(docs, "doc_id", "text", entries, entries.select("k1"), 5, 20).cache()
+    long = coded.selectExpr("k1 AS e", "explode(array(1L, 2L)) AS key", "0L AS sim", "1L AS bits", "50 AS len", "128L AS n")
+    none = spark.createDataFrame([], "a long, b long")
+    got = {tuple(r) for r in lines._unconnected(long, none, 0.8, 24, coded=coded, verify=True).collect()}
+    code = dict(map(tuple, coded.select("k1", "code").collect()))
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(code), 2)]
+    assert got == {(a, b) for a, b in pairs if edits(code[a], code[b]) <= int(0.2 * max(len(code[a]), len(code[b])) + 1e-9)}
+    met = {tuple(r) for r in lines._unconnected(long, none, 0.8, 24, coded=coded).collect()}
+    assert 20 < len(got) < len(met)
+    part = spark.createDataFrame([(a, b) for a, b in got], "a long, b long")
+    assert lines._unconnected(long, part, 0.8, 24, coded=coded, verify=True).count() == 0
+
+
 # --- substrings ---------------------------------------------------------------------------------------
 
 
