@@ -185,6 +185,31 @@ def test_jaccard_sets_travel_in_rounds(spark, monkeypatch):
     assert set(dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect())).values()) == {0}
 
 
+def test_shingle_sketches_rule_out_no_similar_sets(spark, monkeypatch):
+    """Whole sets went along with every candidate; now only with those whose sketches leave room."""
+    rng, texts = random.Random(6), []
+    for n in (1, 3, 40, 66, 130, 300, 520):
+        for _ in range(3):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for share in (0.005, 0.02, 0.03, 0.1):
+                texts.append(" ".join(w if rng.random() > share else "other" for w in base) + " end" * rng.randrange(n // 8 + 1))
+    sets = [set(shingles._set(t, 5).tolist()) for t in texts]
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    entries = spark.createDataFrame(list(enumerate(texts)), "e long, text string")
+    sketches = entries.mapInArrow(shingles._sketches(5), "e bigint, n bigint, sketch binary").cache()
+    met = spark.createDataFrame(pairs, "a long, b long")
+    room = {tuple(r) for r in shingles._with_room(met, sketches, 0.8).collect()}
+    assert len(similar) > 30 and similar <= room and len(room) < 2 * len(similar)
+    travelled = []
+    monkeypatch.setattr(shingles, "written", lambda df, *a, f=shingles.written, **b: travelled.append(df.columns) or f(df, *a, **b))
+    links = {tuple(r) for r in shingles._verified(met, entries, 5, 0.8).collect()}
+    assert links <= similar and travelled.index(["e", "n", "sketch"]) < travelled.index(["e", "s", "size"])
+    both = [dict(map(tuple, components(spark.createDataFrame(sorted(x), "a long, b long")).collect())) for x in (links, similar)]
+    assert both[0] == both[1]
+
+
 # --- lines --------------------------------------------------------------------------------------------
 
 
